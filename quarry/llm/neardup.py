@@ -318,7 +318,8 @@ def confirmed_links(members: DataFrame, docs: DataFrame, num: int, den: int, clu
             pivots.select("rep", "cls", F.xxhash64("label", "k").alias("key"), F.lit(1).alias("role"), F.lit(True).alias("large")))
 
     def checked(rows):
-        texts = docs.join(rows, docs["rid"] == rows["rep"]).select("key", "cls", "role", "text", "large")
+        # always by sorting: the plan, and what it moves, is then the same at every size
+        texts = docs.join(rows.hint("merge"), docs["rid"] == rows["rep"]).select("key", "cls", "role", "text", "large")
         return texts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_confirm(num, den), "a binary, b binary")
 
     found = materialise(checked(rows), "links")
