@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import materialise, units
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -64,7 +64,8 @@ def _fields(b: bytes):
 class Pieces:
     """Scored pieces of a model, exact best segmentations, and a cache by word."""
 
-    CACHE = 400_000
+    CACHE = 150_000
+    SHORT = 48
 
     def __init__(self, proto: bytes):
         self.score, self.id, self.byte, self.raw = {}, {}, {}, []
@@ -91,7 +92,35 @@ class Pieces:
         self.plain = not any("\n" in x or (x[1] == MARK and x[0] != MARK) or "\0" in x for x in self.pairs)
         self.heads = {t[:i] for t in inner for i in range(1, len(t))}  # what longer pieces begin with
         self.cache: dict[str, bytes] = {"": b""}
-        self.cost: dict[str, float] = {"": 0.0}
+        self._trie(inner)
+
+    def _trie(self, inner: list[str]) -> None:
+        """A dense trie of the pieces of the most usual alphabet, for walks over many words at a time."""
+        single = sorted((c for c in self.score if len(c) == 1 and c != MARK), key=self.score.get, reverse=True)
+        usual = {MARK, *single[:254]}  # codes fit in a byte
+        self.code = {c: i + 1 for i, c in enumerate(sorted(usual))}
+        nodes, marks = [{}], [-1]
+        for t in [*sorted(usual & self.score.keys()), *inner]:
+            if not usual.issuperset(t):
+                continue
+            at = 0
+            for c in map(self.code.__getitem__, t):
+                to = nodes[at].get(c)
+                if to is None:
+                    to = nodes[at][c] = len(nodes)
+                    nodes.append({})
+                    marks.append(-1)
+                at = to
+            marks[at] = self.id[t]
+        self.next = np.zeros((len(nodes), len(usual) + 1), np.uint16 if len(nodes) < 1 << 16 else np.int32)
+        for i, edges in enumerate(nodes):
+            for c, to in edges.items():
+                self.next[i, c] = to
+        self.mark = np.array(marks, np.int32)
+        scores = np.full(len(self.raw), NEG)
+        for t, i in self.id.items():
+            scores[i] = self.score[t]
+        self.gain = np.where(self.mark >= 0, scores[self.mark], NEG)
 
     # --- exact segmentation ------------------------------------------------------------------
 
@@ -164,33 +193,81 @@ class Pieces:
         cut = [0, *(i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.pairs), len(s)]
         return [s[a:b] for a, b in zip(cut, cut[1:])]
 
-    def learn(self, words: list[str]) -> list[bytes]:
-        """Encodings of words; each distinct one is computed once while the cache holds it."""
-        out = list(map(self.cache.get, words))
-        if None in out:
-            if len(self.cache) > self.CACHE:
-                self.cache, self.cost = {"": b""}, {"": 0.0}
-            known: dict[str, bytes] = {}
-            for i, x in enumerate(out):
-                if x is None:
-                    w = words[i]
-                    if w not in known:
-                        known[w], self.cost[w] = self.word(w)
-                    out[i] = known[w]
-            self.cache.update(known)
+    def solve(self, words: list[str]) -> dict[str, bytes]:
+        """Encodings of distinct words: those of the usual alphabet many at a time."""
+        out, short, codes = {}, [], []
+        for w in words:
+            if len(w) <= self.SHORT:
+                try:
+                    codes.append(bytes(map(self.code.__getitem__, w)))
+                    short.append(w)
+                    continue
+                except (KeyError, ValueError):
+                    pass
+            out[w] = self.word(w)[0]
+        for lo in range(0, len(short), 1 << 14):
+            part = codes[lo : lo + (1 << 14)]
+            lens = np.fromiter(map(len, part), np.int64, len(part))
+            n = int(lens.max())
+            x = np.frombuffer(b"".join([c.ljust(n, b"\0") for c in part]), np.uint8).reshape(-1, n).T
+            out.update(zip(short[lo : lo + (1 << 14)], self._solve(np.ascontiguousarray(x), lens) if n else [b""] * len(part)))
         return out
 
+    def _solve(self, x: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        """x[i] has the codes of the i-th characters of words, 0 beyond their ends; the recurrence of `word`, by columns."""
+        n, m = x.shape
+        best = np.full((n + 1, m), NEG)
+        best[0] = 0
+        start, piece = np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int32)
+        width = self.next.shape[1]
+        flat = self.next.reshape(-1)
+        for s in range(n):
+            alive = np.flatnonzero(lens > s)
+            node, base = np.zeros(len(alive), np.int64), best[s, alive]
+            for e in range(s + 1, min(n, s + self.longest) + 1):
+                node = flat[node * width + x[e - 1, alive]].astype(np.int64)
+                on = np.flatnonzero(node)
+                if len(on) < len(node):
+                    alive, node, base = alive[on], node[on], base[on]
+                if not len(alive):
+                    break
+                sums = base + self.gain[node]
+                up = np.flatnonzero(sums > best[e, alive])
+                k = alive[up]
+                best[e, k], start[e, k], piece[e, k] = sums[up], s, self.mark[node[up]]
+        at, rows = lens.copy(), []
+        count = np.zeros(m, np.int64)
+        while at.any():
+            on = at > 0
+            w = np.arange(m)
+            rows.append(np.where(on, piece[at, w], -1))
+            count += on
+            at = np.where(on, start[at, w], 0)
+        if not rows:
+            return [b""] * m
+        ids = np.stack(rows[::-1], 1).astype("<i4")  # what precedes a word's first id is padding
+        raw, width = ids.tobytes(), 4 * ids.shape[1]
+        return [raw[(i + 1) * width - 4 * c : (i + 1) * width] for i, c in enumerate(count.tolist())]
+
+    def learn(self, lists: list[list[str]]) -> list[bytes]:
+        """The encodings of lists of words; each distinct word is solved once while the cache holds it."""
+        if len(self.cache) > self.CACHE:
+            self.cache = {"": b""}
+        new = {w for words in lists for w in words}
+        new.difference_update(self.cache)
+        self.cache.update(self.solve(list(new)))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
+
     def total(self, words: list[str]) -> float:
-        out = 0.0
-        for w in words:
-            if w not in self.cost:
-                self.learn([w])
-            out += self.cost[w]
-        return out
+        return sum(self.word(w)[1] for w in words)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        return b"".join(self.learn(self.words(MARK + text.replace(" ", MARK)))) if text else b""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return self.learn([self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
 
     def decode(self, ids) -> bytes:
         raw = b"".join([self.raw[i] for i in ids])
@@ -235,7 +312,7 @@ class Pieces:
         common, stop, came = b"", base, None
         if cuts:
             head, at = self.trace(z, start, cuts[0], base)
-            common, came = as_bytes(head) + b"".join(self.learn(self.words(z[cuts[0] : cuts[1]]))), base - at
+            common, came = as_bytes(head) + self.learn([self.words(z[cuts[0] : cuts[1]])])[0], base - at
             best, start, stop = {cuts[1]: 0.0}, {}, cuts[1]
             self.forward(z, stop, len(z), best, start)
         tails, back = [], []
@@ -281,13 +358,15 @@ def _lists(codes: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<i4"), pa.int32()))
 
 
-def _encode_small(proto: bytes):
+def _encode_small(proto: bytes, back: bool):
     def run(it):
         p = pieces_of(proto)
-        for b in it:
-            for at in range(0, b.num_rows, 256):
-                x = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*x.drop_columns(["text"]).columns, _lists([p.encode(t) for t in x.column("text").to_pylist()])], [*(n for n in x.schema.names if n != "text"), "ids"])
+        for x in units(it, "text", 1 << 20):
+            codes = p.encode_all(x.column("text").to_pylist())
+            cols = {"doc_id": x.column("doc_id"), "ids": _lists(codes)}
+            if back:
+                cols["text"] = pa.array([p.decode(np.frombuffer(c, "<i4").tolist()) for c in codes], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return run
 
@@ -350,15 +429,18 @@ def _followed(pdf):
     return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [np.frombuffer(b"".join(reversed(parts)), "<i4")]})
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = 1 << 16) -> DataFrame:
-    """doc_id, ids of every row of docs (doc_id, text). Texts over `chunk` code points are encoded in parallel chunks."""
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = 1 << 16, back: bool = False) -> DataFrame:
+    """doc_id, ids of every row of docs (doc_id, text), with `back` also text, decoded from the ids.
+
+    Texts of at least `chunk` code points are encoded in parallel chunks.
+    """
     with open(model, "rb") as f:
         proto = f.read()
     p = pieces_of(proto)
     if chunk < 2 * p.longest:
         raise ValueError(f"chunk must be at least {2 * p.longest}")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    small = base.filter(F.length("text") < chunk).mapInArrow(_encode_small(proto), "doc_id long, ids array<int>")
+    small = base.filter(F.length("text") < chunk).mapInArrow(_encode_small(proto, back), "doc_id long, ids array<int>" + ", text string" * back)
     giant = base.filter(F.length("text") >= chunk).withColumn("row", F.monotonically_increasing_id())
     giant = materialise(giant, "giant")
     if not giant.limit(1).count():
@@ -370,21 +452,27 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 1 << 16) -> DataFra
     vectors = moves.groupBy("row").applyInPandas(_incoming(p.longest), "row long, c long, v binary")
     traced = chunks.join(vectors, ["row", "c"]).mapInArrow(_traced(proto), "row long, c long, common binary, tails array<binary>, back array<int>")
     ids = traced.groupBy("row").applyInPandas(_followed, "row long, ids array<int>")
-    return small.unionByName(giant.select("row", "doc_id").join(ids, "row").select("doc_id", "ids"))
+    long = giant.select("row", "doc_id").join(ids, "row").select("doc_id", "ids")
+    return small.unionByName(_decoded(long, proto, keep=True) if back else long)
 
 
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """coded with its ids replaced by the text that they stand for."""
     with open(model, "rb") as f:
-        proto = f.read()
+        return _decoded(coded, f.read())
+
 
+def _decoded(coded: DataFrame, proto: bytes, keep: bool = False) -> DataFrame:
     def run(it):
         p = pieces_of(proto)
         for b in it:
-            for at in range(0, b.num_rows, 256):
-                x = b.slice(at, 256)
-                texts = [p.decode(i) for i in x.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*x.drop_columns(["ids"]).columns, pa.array(texts, pa.binary()).cast(pa.string())], [*(n for n in x.schema.names if n != "ids"), "text"])
-
-    fields = [f for f in coded.schema.fields if f.name != "ids"]
-    return coded.select(*(f.name for f in fields), "ids").mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "text string"]))
+            for at in range(0, b.num_rows, 128):
+                x = b.slice(at, 128)
+                texts = pa.array([p.decode(i or ()) for i in x.column("ids").to_pylist()], pa.binary()).cast(pa.string())
+                x = x if keep else x.drop_columns(["ids"])
+                yield x.append_column("text", texts)
+
+    fields = [f for f in coded.schema.fields if keep or f.name != "ids"]
+    rest = [f.name for f in fields if f.name != "ids"]
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted(fields, key=lambda f: f.name == "ids"))
+    return coded.select(*rest, "ids").mapInArrow(run, names + ", text string")

@@ -31,15 +31,9 @@ def op3_winnowing(spark, sf_dir):
 
 
 def op4_sentencepiece(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return token_digest(pieces.encode(docs), docs)
-
-
-def token_digest(coded: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256 of encoded rows."""
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
-    out = pieces.decode(coded)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256 (of the text decoded from them)."""
+    out = pieces.encode(_table(spark, sf_dir, "documents"), back=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op5_warc(spark, sf_dir):
