@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and text as decoded from the ids."""
-    coded = pieces.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
-    return pieces.decode(coded.withColumn("tokens", F.col("ids"))).select("doc_id", "n_tokens", F.col("tokens").alias("ids"), "text")
+    out = pieces.encode(docs, back=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("source_mix", mix), ("sentencepiece", encode)]
