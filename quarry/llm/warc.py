@@ -25,22 +25,47 @@ import hashlib
 import math
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_ID, materialise, rid, scratch_path
+from quarry.llm.common import MAX_ID, materialise, rid, scratch_path, units
 
 MAGIC = b"WARC/1."
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(col):
-    """The bare base32 SHA-1 of a column's bytes, in SQL: five hex digits are four base32 digits."""
-    h = F.sha1(col)
-    five = [F.conv(F.substring(h, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
-    digit = lambda x, shift: F.substring(F.lit(BASE32), F.shiftright(x, shift).bitwiseAND(31) + 1, F.lit(1))
-    return F.concat(*(digit(x, shift) for x in five for shift in (15, 10, 5, 0)))
+def sha1_of(payload: bytes) -> str:
+    """The bare base32 SHA-1."""
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def _pack(it):
+    """Payloads with their digest, compressed for the way to their record's place."""
+    z = zstandard.ZstdCompressor(level=3)
+    for b in units(it, "html", 8 << 20):
+        html = b.column("html").to_pylist()
+        extra = [pa.array([sha1_of(x) for x in html]), pa.array([z.compress(x) for x in html], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.drop_columns(["html"]).columns, *extra], [*(n for n in b.schema.names if n != "html"), "sha1", "packed"])
+
+
+def record(page_id, url: str, sha1: str, payload: bytes, to=None) -> bytes:
+    """A record without the two line ends that close it; a revisit of page `to` where that is given."""
+    name = lambda i: b"<urn:page:%s>" % (b"" if i in (None, MAX_ID) else str(i).encode())
+    kind = b"response" if to is None else b"revisit"
+    lines = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + name(page_id), b"WARC-Target-URI: " + url.encode().replace(b"\r", b"").replace(b"\n", b""), b"WARC-Payload-Digest: sha1:" + sha1.encode()]
+    if to is not None:
+        payload = b""
+        lines += [b"WARC-Profile: " + PROFILE.encode(), b"WARC-Refers-To: " + name(to)]
+    return b"\r\n".join([*lines, b"Content-Length: %d" % len(payload), b"", payload])
+
+
+def _render(it):
+    z = zstandard.ZstdDecompressor()
+    for b in units(it, "packed", 1 << 20):
+        out = [record(i, u, s, z.decompress(p) if t is None else b"", t) for i, u, s, p, t in zip(*(b.column(c).to_pylist() for c in ("rid", "url", "sha1", "packed", "to")))]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
@@ -50,23 +75,10 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     first = key.groupBy("sha", "bytes").agg(F.min("rid").alias("to"), F.max("rid").alias("top")).filter((F.col("to") < F.col("top")) & (F.col("bytes") >= least))
     # one row per page id and payload that revisits; pages are joined by both, as ids may repeat
     again = key.join(first, ["sha", "bytes"]).filter("rid > to").select("rid", "sha", "to").distinct()
-    rows = base.join(again.withColumnRenamed("sha", "sha2"), "rid", "left") if not _repeats(base) else base.withColumn("sha2", F.sha2("html", 256)).join(again.withColumnRenamed("sha", "sha2"), ["rid", "sha2"], "left")
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    name = lambda c: F.when(F.col(c) == MAX_ID, F.lit("")).otherwise(F.col(c).cast("string"))
-    uid = lambda c: F.concat(F.lit("<urn:page:"), name(c), F.lit(">"))
-    revisit = F.col("to").isNotNull()
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", uid("rid")),
-        line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("html")))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", uid("to")))).otherwise(F.lit("")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.octet_length("html").cast("string"))),
-        F.lit("\r\n"),
-    )
-    record = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 100_000).text(path)
+    twice = _repeats(base)
+    sent = base.select("rid", "url", F.sha2("html", 256).alias("sha") if twice else F.lit("").alias("sha"), F.col("html").cast("binary").alias("html")).mapInArrow(_pack, "rid long, url string, sha string, sha1 string, packed binary")
+    rows = sent.join(again, ["rid", "sha"], "left") if twice else sent.drop("sha").join(again.drop("sha"), "rid", "left")
+    rows.select("rid", "url", "sha1", "packed", "to").mapInArrow(_render, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 100_000).text(path)
 
 
 def _repeats(base: DataFrame) -> bool:
@@ -100,10 +112,6 @@ CANDIDATE = pa.schema([
 ])
 
 
-def sha1_of(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
-
-
 def _candidates(it):
     """Candidates of each split, relative to its first byte; size is that of the piece with its magic."""
 
