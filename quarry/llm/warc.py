@@ -43,7 +43,7 @@ def sha1_of(payload: bytes) -> str:
 
 def _pack(it):
     """Payloads with their digest, compressed for the way to their record's place."""
-    z = zstandard.ZstdCompressor(level=3)
+    z = zstandard.ZstdCompressor(level=9)
     for b in units(it, "html", 8 << 20):
         html = b.column("html").to_pylist()
         extra = [pa.array([sha1_of(x) for x in html]), pa.array([z.compress(x) for x in html], pa.binary())]
@@ -71,12 +71,12 @@ def _render(it):
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes a record per row of pages (page_id, url, html)."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), rid("page_id").alias("rid"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    key = base.select("rid", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("long").alias("bytes"))
+    key = base.select("rid", F.unhex(F.sha2("html", 256)).alias("sha"), F.octet_length("html").cast("long").alias("bytes"))
     first = key.groupBy("sha", "bytes").agg(F.min("rid").alias("to"), F.max("rid").alias("top")).filter((F.col("to") < F.col("top")) & (F.col("bytes") >= least))
     # one row per page id and payload that revisits; pages are joined by both, as ids may repeat
     again = key.join(first, ["sha", "bytes"]).filter("rid > to").select("rid", "sha", "to").distinct()
     twice = _repeats(base)
-    sent = base.select("rid", "url", F.sha2("html", 256).alias("sha") if twice else F.lit("").alias("sha"), F.col("html").cast("binary").alias("html")).mapInArrow(_pack, "rid long, url string, sha string, sha1 string, packed binary")
+    sent = base.select("rid", "url", F.unhex(F.sha2("html", 256)).alias("sha") if twice else F.lit(b"").alias("sha"), F.col("html").cast("binary").alias("html")).mapInArrow(_pack, "rid long, url string, sha binary, sha1 string, packed binary")
     rows = sent.join(again, ["rid", "sha"], "left") if twice else sent.drop("sha").join(again.drop("sha"), "rid", "left")
     rows.select("rid", "url", "sha1", "packed", "to").mapInArrow(_render, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 100_000).text(path)
 
