@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import MAX_ID, grams, join_texts, mix, powers, rid, text_bytes, units, window_min, words_of
 
 UNIT = 8 << 20  # bytes of text that are handled at a time
-PART = 16 << 20  # bytes of text per bucket partition
+PART = 16 << 20  # bytes of text per bucket partition: what is sorted at a time
+TASKS = 1 << 16  # at most so many tasks share the bucket partitions
 
 
 def _runs(texts: list[bytes], k: int, m: int, hot: np.ndarray):
@@ -86,9 +87,7 @@ def _census(k: int, m: int, keep: int):
 HEAD = "<II"  # known repeats, super-k-mers
 
 
-def _pack(deal: list[int], k: int, m: int, hot: np.ndarray):
-    parts = len(deal)
-
+def _pack(parts: int, deal: list[int], k: int, m: int, hot: np.ndarray):
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
         for b in units(it, "text", UNIT):
@@ -115,9 +114,9 @@ def _pack(deal: list[int], k: int, m: int, hot: np.ndarray):
                 g = x[goes[x]]
                 meta = np.stack([ids[x], tags[x], r["start"][x], r["words"][x]])
                 text = b"\n".join([buf[i:j] for i, j in zip(s[g].tolist(), e[g].tolist())])
-                out_part.append(deal[int(part[x[0]])])
+                out_part.append(int(part[x[0]]))
                 out_blob.append(z.compress(struct.pack(HEAD, len(x) - len(g), len(g)) + meta.astype("<i8").tobytes() + text))
-            yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([deal[p % len(deal)] for p in out_part], pa.int32()), pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["task", "part", "blob"])
 
     return run
 
@@ -228,13 +227,12 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3) -> DataFrame:
     least = max(2, (int(total["n"]) if total else 0) // (4 * min(max(parts, 64), 4096)))
     # sums to n at most, so no more than 16384 minimisers can reach the threshold
     hot = np.array(sorted(x["low"] for x in census.filter(F.col("low").isNotNull() & (F.col("n") >= least)).collect()), np.int64).view(np.uint64)
-    n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # one bucket partition per task: numbers are dealt that Spark's hash sends to different tasks
+    n = max(min(parts, TASKS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # bucket partitions are dealt evenly: to each task goes a number that Spark's hash sends there
     deal = spark.range(24 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("task")).agg(F.min("id").alias("id")).orderBy("task").limit(n).collect()
-    deal = [x["id"] for x in deal][:parts]
-    deal += [24 * n + i for i in range(parts - len(deal))]
-    packed = base.select("rid", "tag", "text").mapInArrow(_pack(deal, k, m, hot), "part int, blob binary")
-    spans = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_count(k), "rid long, tag long, span long")
+    deal = [x["id"] for x in deal]
+    packed = base.select("rid", "tag", "text").mapInArrow(_pack(parts, deal, k, m, hot), "task int, part int, blob binary")
+    spans = packed.repartition(n, "task").sortWithinPartitions("part").drop("task").mapInArrow(_count(k), "rid long, tag long, span long")
     spans = spans.groupBy("rid", "tag").agg(F.collect_list("span").alias("spans"))
     both = base.join(spans, ["rid", "tag"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
