@@ -16,7 +16,9 @@ Operand = Column | list
 
 
 def column(v: Operand) -> Column:
-    return v if isinstance(v, Column) else F.array(*(F.lit(float(np.float32(x))) for x in v)).cast("array<float>")
+    if isinstance(v, Column):
+        return v
+    return F.expr("cast(array(" + ", ".join(f"{float(np.float32(x))!r}D" for x in v) + ") as array<float>)")
 
 
 def _fold(a: Operand, b: Operand, step, checked: bool) -> Column:
