@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import MAX_ID, grams, join_texts, mix, powers, rid, text_bytes, units, window_min, words_of
 
 UNIT = 8 << 20  # bytes of text that are handled at a time
-PART = 16 << 20  # bytes of text per bucket partition: what is sorted at a time
+PART = 8 << 20  # bytes of text per bucket partition: what is sorted at a time
 TASKS = 1 << 16  # at most so many tasks share the bucket partitions
 
 
@@ -128,12 +128,19 @@ def _ranges(ids, tags, start, words):
     )
 
 
+def _repeats(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which of the ordered values equal the one before."""
+    x = x[order]
+    return x[1:] == x[:-1]
+
+
 def _count(k: int):
     """Sorts the windows of one bucket partition and gives the word ranges that are repeats."""
 
     def bucket(blobs):
         z = zstandard.ZstdDecompressor()
-        hs, hs2, rids, tags, pos = [], [], [], [], []
+        # a window is two hashes and, in 32 bits each, its super-k-mer and its place in the document
+        hs, hs2, which, pos, ids, tags, base = [], [], [], [], [], [], 0
         for blob in blobs:
             raw = z.decompress(blob)
             known, n = struct.unpack_from(HEAD, raw)
@@ -142,34 +149,43 @@ def _count(k: int):
                 yield _ranges(meta[0, :known], meta[1, :known], meta[2, :known], meta[3, :known])
             if not n:
                 continue
-            meta = meta[:, known:]
+            meta = meta[:, known:].copy()
             _, _, h = words_of(memoryview(raw)[8 + 32 * (known + n) :])
-            unit = np.repeat(np.arange(n), meta[3])
+            del raw
+            unit = np.repeat(np.arange(n, dtype=np.int32), meta[3])
             first = np.cumsum(meta[3]) - meta[3]
             w = np.flatnonzero(unit[: len(h) - k + 1] == unit[k - 1 :])
             u = unit[w]
             hs.append(grams(h, k, 12)[w])
             hs2.append(grams(h, k, 13)[w])
-            rids.append(meta[0][u])
-            tags.append(meta[1][u])
-            pos.append(meta[2][u] + w - first[u])
+            which.append(u + np.int32(base))
+            pos.append((meta[2][u] + w - first[u]).astype(np.int32))
+            ids.append(meta[0])
+            tags.append(meta[1])
+            base += n
         if not hs:
             return
-        h, h2, ids, tag, at = (np.concatenate(x) for x in (hs, hs2, rids, tags, pos))
-        del hs, hs2, rids, tags, pos
+        h = np.concatenate(hs)
+        del hs
+        h2 = np.concatenate(hs2)
+        del hs2
+        which, at, ids, tags = np.concatenate(which), np.concatenate(pos), np.concatenate(ids), np.concatenate(tags)
+        del pos
         order = np.argsort(h, kind="stable")
-        same, same2 = h[order][1:] == h[order][:-1], h2[order][1:] == h2[order][:-1]
+        same, same2 = _repeats(h, order), _repeats(h2, order)
         if (same & ~same2).any():
             order = np.lexsort((h2, h))
-            same, same2 = h[order][1:] == h[order][:-1], h2[order][1:] == h2[order][:-1]
+            same, same2 = _repeats(h, order), _repeats(h2, order)
         head = np.flatnonzero(np.append(True, ~(same & same2)))
-        oid = ids[order]
+        del h, h2, same, same2
+        oid = ids[which[order]]
         least = np.repeat(np.minimum.reduceat(oid, head), np.diff(np.append(head, len(oid))))
         x = order[oid > least]
         if not len(x):
             return
-        x = x[np.lexsort((at[x], tag[x], ids[x]))]
-        i, t, a = ids[x], tag[x], at[x]
+        i, t, a = ids[which[x]], tags[which[x]], at[x]
+        by = np.lexsort((a, t, i))
+        i, t, a = i[by], t[by], a[by]
         new = np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1] + 1))
         head = np.flatnonzero(new)
         length = np.diff(np.append(head, len(x))) + k - 1
