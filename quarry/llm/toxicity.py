@@ -56,7 +56,8 @@ def counts(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows of one text, how often each occurs, and the number of all."""
     rows = [r for _, r in subwords(text, np.zeros(1, np.int64))]
     rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    return *np.unique(rows, return_counts=True), len(rows)
+    unique, n = np.unique(rows, return_counts=True)
+    return unique.astype(np.int32), n.astype(np.float32), len(rows)
 
 
 def fit(texts: list[bytes], labels: np.ndarray, rate: float, dims: int = 6, epochs: int = 10, rows_a_step: int = 64, lr: float = 0.1, least_z: float = 4.5, seed: int = 7):
@@ -106,7 +107,9 @@ def fit(texts: list[bytes], labels: np.ndarray, rate: float, dims: int = 6, epoc
 def _weights(bags: list, y: np.ndarray, least_z: float) -> np.ndarray:
     """The weight of each row in a text's mean: how far its texts' shares in the two classes differ, in
     standard errors beyond `least_z`; rows of fewer than three texts get none."""
-    df = [np.bincount(np.concatenate([np.empty(0, np.int64), *(r for (r, _, _), c in zip(bags, y) if c == k)]), minlength=1 << BITS) for k in (0, 1)]
+    df = np.zeros((2, 1 << BITS), np.int64)
+    for (rows, _, _), c in zip(bags, y):
+        df[c, rows] += 1
     n0, n1 = max(int((y == 0).sum()), 1), max(int((y == 1).sum()), 1)
     p = (df[0] + df[1]) / (n0 + n1)
     z = np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
