@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import batched
+
 Turns = list[tuple[str, str]]
 
 
@@ -115,6 +117,6 @@ def format_conversations(rows: DataFrame, template: Template = CHATML, loss_role
             yield one(now, turns)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    base = batched(rows).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return base.mapInArrow(run, "conv_id long, formatted string, turns array<struct<start:long,end:long>>, loss array<struct<start:long,end:long>>, rewritten boolean")

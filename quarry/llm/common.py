@@ -60,6 +60,17 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded to 512 rows and 8 MB: at the default of 10,000 rows a batch of long
+    texts is far beyond what a worker, and the JVM's direct memory, should hold at once."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = str(conf.get(key, "0"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def rid(col: str = "doc_id"):
     """The id used for order: a null id counts as larger than all others."""
     return F.coalesce(F.col(col).cast("long"), F.lit(MAX_ID))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, text_bytes, units
+from quarry.llm.common import batched, materialise, text_bytes, units
 
 NONE = -(1 << 63)  # the score of a null id: below all others
 RUNS = "run long, bucket int, digest binary, best long, n long, ids array<long>, segment binary, filter binary"
@@ -180,7 +180,7 @@ def exact_groups(docs: DataFrame, largest: bool = False, memtable_bytes: int = 1
     shortens the index's keys (the byte check then has work to do).
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     buckets = max(16, base.select("doc_id").count() // 200_000)
     runs = materialise(base.mapInArrow(_memtables(memtable_bytes, digest_bytes, buckets, largest), RUNS), "runs")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096))

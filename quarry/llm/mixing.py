@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, join_texts, materialise, text_bytes, units
+from quarry.llm.common import SPACE, batched, join_texts, materialise, text_bytes, units
 
 TABLE = 1 << 16  # the largest remainder that the knapsack table is made for
 
@@ -109,7 +109,7 @@ def targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: flo
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 13) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source, tag (a hash of the text) of every row of docs (doc_id, text, source)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_bytes()).alias("tag"), text_bytes().alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_bytes()).alias("tag"), text_bytes().alias("text"))
     sizes = base.mapInArrow(word_counts, "doc_id long, source string, tag long, size long")
     hashed = F.xxhash64(F.lit(seed), "doc_id", "tag")
     sizes = materialise(sizes.withColumn("h", hashed).withColumn("range", F.shiftrightunsigned("h", 54).cast("int")), "sizes")

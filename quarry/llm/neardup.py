@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_ID, grams, join_texts, materialise, mix, rid, text_bytes, units, words_of
+from quarry.llm.common import MAX_ID, batched, grams, join_texts, materialise, mix, rid, text_bytes, units, words_of
 from quarry.llm.graph import components
 
 POSITIONS = 32
@@ -340,7 +340,7 @@ def near_groups(docs: DataFrame, num: int = 75, den: int = 100, **how) -> DataFr
     Documents are linked where den * intersection >= num * union of their sets.
     """
     limit = how.pop("cluster_limit", 2048)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), text_bytes().alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), text_bytes().alias("text"))
     signed = materialise(base.mapInArrow(_sign, "doc_id long, rid long, n long, cls binary, sig binary"), "signed")
     classes = signed.filter("n > 0").groupBy("cls").agg(F.min("rid").alias("rep"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")

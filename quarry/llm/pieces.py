@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, units
+from quarry.llm.common import batched, materialise, units
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -439,7 +439,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 1 << 16, back: bool
     p = pieces_of(proto)
     if chunk < 2 * p.longest:
         raise ValueError(f"chunk must be at least {2 * p.longest}")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     small = base.filter(F.length("text") < chunk).mapInArrow(_encode_small(proto, back), "doc_id long, ids array<int>" + ", text string" * back)
     giant = base.filter(F.length("text") >= chunk).withColumn("row", F.monotonically_increasing_id())
     giant = materialise(giant, "giant")

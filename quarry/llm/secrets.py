@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import units
+from quarry.llm.common import batched, units
 
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
 RANK = {k: i for i, k in enumerate(KINDS)}
@@ -128,5 +128,5 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 out.append([{"kind": k, "start": s, "end": e} for k, s, e in in_order(spans)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, SPANS)], ["doc_id", "spans"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return base.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")

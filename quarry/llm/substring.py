@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_ID, grams, join_texts, mix, powers, rid, text_bytes, units, window_min, words_of
+from quarry.llm.common import MAX_ID, batched, grams, join_texts, mix, powers, rid, text_bytes, units, window_min, words_of
 
 UNIT = 8 << 20  # bytes of text that are handled at a time
 PART = 8 << 20  # bytes of text per bucket partition: what is sorted at a time
@@ -233,7 +233,7 @@ def _cut(it):
 def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), text_bytes().alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), text_bytes().alias("text"))
     twice = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     base = base.withColumn("tag", F.xxhash64("text") if twice else F.lit(0).cast("long"))
     census = base.select("text").mapInArrow(_census(k, m, 16384), "low long, n long, bytes long").groupBy("low").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BYTE, LOWER, SPACE, join_texts, mix, powers, text_bytes, units
+from quarry.llm.common import BYTE, LOWER, SPACE, batched, join_texts, mix, powers, text_bytes, units
 
 BITS = 17
 SIZES = (3, 4, 5, 6)
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000):
     if ones in (0, n):
         return flat
     pick = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(pick[0].union(pick[1])), "doc_id")
+    sample = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(pick[0].union(pick[1])), "doc_id")
 
     def learn(pdf):
         import pandas as pd
@@ -186,7 +186,7 @@ def scorer(model):
 def score(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text)."""
     model = train(docs, labels, per_class)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     out = base.mapInArrow(scorer(model), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_ID, materialise, rid, scratch_path, units
+from quarry.llm.common import MAX_ID, batched, materialise, rid, scratch_path, units
 
 MAGIC = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -70,7 +70,7 @@ def _render(it):
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes a record per row of pages (page_id, url, html)."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), rid("page_id").alias("rid"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    base = batched(pages).select(F.col("page_id").cast("long").alias("page_id"), rid("page_id").alias("rid"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     key = base.select("rid", F.unhex(F.sha2("html", 256)).alias("sha"), F.octet_length("html").cast("long").alias("bytes"))
     first = key.groupBy("sha", "bytes").agg(F.min("rid").alias("to"), F.max("rid").alias("top")).filter((F.col("to") < F.col("top")) & (F.col("bytes") >= least))
     # one row per page id and payload that revisits; pages are joined by both, as ids may repeat

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, mix, powers, rid, window_min
+from quarry.llm.common import batched, materialise, mix, powers, rid, window_min
 
 K, WINDOW = 16, 32
 PIECE = 1 << 18  # hashes handled at a time
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
             out = [fingerprint(t or "", k, w) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[i].tolist() for x in out], pa.list_(pa.int64())) for i in (0, 1))], ["doc_id", "hashes", "positions"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
 
 
 ROW = pa.schema([
@@ -134,7 +134,7 @@ def compare_with_next(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_rows = base.repartitionByRange(n, "rid").sortWithinPartitions("rid", "text").select("doc_id", "text")
     rows = materialise(sorted_rows.mapInArrow(_stream(k, w), DDL), "compared")
     parts = sorted(x[0] for x in rows.filter("kind = 1").select("part").collect())  # one number per range
