@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact, mixing, neardup, pieces, toxicity
-from quarry.llm.common import scratch_path, text_bytes
+from quarry.llm.common import batched, scratch_path, text_bytes
 
 ORACLE_SQL = None  # the classifier and the seeded mix are beyond SQL; tests hold run() against a brute-force version
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels)
     names = docs.columns
     # texts of null stay null: the score is made from a copy of the text
-    work = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), text_bytes().alias("text"))
+    work = batched(docs).select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), text_bytes().alias("text"))
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "score double"])
     out = work.mapInArrow(toxicity.scorer(model), schema).filter("score < 0.5")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
