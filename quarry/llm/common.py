@@ -65,7 +65,7 @@ def batched(df: DataFrame) -> DataFrame:
     texts is far beyond what a worker, and the JVM's direct memory, should hold at once."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = str(conf.get(key, "0"))
+        now = str(conf.get(key)).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
