@@ -81,9 +81,9 @@ PLAIN: dict[str, tuple] = {
     "filter_in_null": ("SELECT n_name FROM nation WHERE n_regionkey NOT IN (1, NULL) OR n_regionkey IN (2, NULL)", SAME, ()),
     "filter_null_constant": ("SELECT n_name FROM nation WHERE NULL", SAME, ()),
     "filter_paren": ("SELECT s_suppkey FROM supplier WHERE ((s_acctbal) > (0)) AND (s_nationkey = 1 OR s_nationkey = 2)", SAME, ()),
-    "like": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_'", SAME, ()),
-    "not_like": ("SELECT c_custkey FROM customer WHERE c_name NOT LIKE '%00%'", SAME, ()),
-    "ilike": ("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%b_A%'", SAME, ()),
+    "like": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ed%g_t'", SAME, ()),
+    "not_like": ("SELECT c_custkey FROM customer WHERE c_name NOT LIKE '%1_'", SAME, ()),
+    "ilike": ("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'e_On%y'", SAME, ()),
     "not_ilike": ("SELECT doc_id FROM documents WHERE text NOT ILIKE '%THE%'", SAME, ()),
     "is_null": ("SELECT doc_id FROM documents WHERE text IS NULL OR source IS NOT NULL", SAME, ()),
     "is_true": ("SELECT p_partkey FROM part WHERE (p_size > 20) IS TRUE AND (p_size > 40) IS NOT TRUE AND (p_size = 30) IS FALSE", SAME, ()),
@@ -124,7 +124,7 @@ PLAIN: dict[str, tuple] = {
     "vec_dims": ("SELECT vec_id, vector_dims(embedding) AS n, dimensions(embedding) AS m FROM embeddings", "SELECT vec_id, len(embedding) AS n, len(embedding) AS m FROM embeddings", ()),
     "vec_norm": ("SELECT vec_id, vector_norm(embedding) AS n, norm(embedding) AS m FROM embeddings", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS n, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS m FROM embeddings", ("n", "m")),
     "vec_normalize": (f"SELECT vec_id, vector_norm(normalize(embedding)) AS n, dot_product(normalize_vector(embedding), {Q}) AS d FROM embeddings", f"SELECT vec_id, 1.0::DOUBLE AS n, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS d FROM embeddings", ("n", "d")),
-    "vec_equality": ("SELECT vec_id, embedding = embedding AS same, embedding <> normalize(embedding) AS d FROM embeddings WHERE vec_id < 0", "SELECT vec_id, TRUE AS same, TRUE AS d FROM embeddings WHERE vec_id < 0", ()),
+    "vec_equality": (f"SELECT vec_id, embedding = embedding AS same, embedding <> {Q} AS d, embedding = {Q} AS e FROM embeddings", f"SELECT vec_id, embedding = embedding AS same, embedding::DOUBLE[] <> {QD} AS d, embedding::DOUBLE[] = {QD} AS e FROM embeddings", ()),
     "vec_constructor": ("SELECT vector_norm(VECTOR(3, 4)) AS n, vector_dims(ARRAY[1, 2, 3]) AS d, dot_product([1, 2], VECTOR(3, 4)) AS p", "SELECT 5.0::DOUBLE AS n, 3::BIGINT AS d, 11.0::DOUBLE AS p", ()),
     "vec_topk_filtered": (f"SELECT vec_id, label, cosine_distance(embedding, {Q}) AS d FROM embeddings WHERE label = 3 ORDER BY d LIMIT 20", f"SELECT vec_id, label::BIGINT AS label, {_dist('cosine')} AS d FROM embeddings WHERE label = 3 ORDER BY 1 - list_inner_product(embedding::DOUBLE[], {QD}) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) LIMIT 20", ("d",)),
     "vec_topk_offset": (f"SELECT vec_id, l2_distance(embedding, {Q}) AS d FROM embeddings ORDER BY d DESC LIMIT 4 OFFSET 2", f"SELECT vec_id, {_dist('l2')} AS d FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {QD}) DESC LIMIT 4 OFFSET 2", ("d",)),
