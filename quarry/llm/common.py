@@ -102,6 +102,20 @@ def units(it, text: str, limit: int):
             at = to
 
 
+def gathered(it, text: str, limit: int):
+    """Like `units`, with consecutive small slices put together, so that a slice's size does not hang on the batches'."""
+    held, size = [], 0
+    for u in units(it, text, limit):
+        n = (pc.sum(pc.binary_length(u.column(text))).as_py() or 0) + 16 * u.num_rows
+        if held and size + n > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(u)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 # --- word hashing -----------------------------------------------------------------------------
 
 SPACE = np.zeros(256, bool)

@@ -7,9 +7,9 @@ windows finds, for every distinct word sequence, the smallest doc_id in which it
 documents with larger ids are repeats, and each word that such a window covers is removed.
 
 Skew: equal super-k-mers of one unit of input (8 MB) are collapsed before the shuffle; only the one
-of the smallest id travels, the others are known repeats already. Minimisers that hold more than
-1/(4 * parts) of all super-k-mers (at most 4 * parts of them can exist, and 4096 * 4 are kept at
-most by the threshold) are dealt window by window, by the hash of the whole window.
+of the smallest id travels, the others are known repeats already. Minimisers that hold 1/(4 * parts) of all super-k-mers (with
+64 to 4096 for parts) are dealt window by window, by the hash of the whole window; the census finds
+all of these, and may add such as hold half of that, 32768 at most altogether.
 
 Defined cases: null or empty text has no words; a null doc_id counts as larger than all others and
 equal to no smaller one; rows that share a doc_id never make each other's words repeats; an empty
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_ID, batched, grams, join_texts, mix, powers, rid, text_bytes, units, window_min, words_of
+from quarry.llm.common import MAX_ID, batched, gathered, grams, join_texts, mix, powers, rid, text_bytes, window_min, words_of
 
 UNIT = 8 << 20  # bytes of text that are handled at a time
 PART = 8 << 20  # bytes of text per bucket partition: what is sorted at a time
@@ -68,18 +68,15 @@ def _runs(texts: list[bytes], k: int, m: int, hot: np.ndarray):
 
 
 def _census(k: int, m: int, keep: int):
-    """Per unit: bytes, super-k-mers, and the minimisers that hold at least 1/keep of them."""
+    """Per unit: how many super-k-mers, and the minimisers that hold at least 1/keep of them."""
 
     def run(it):
-        for b in units(it, "text", UNIT):
+        for b in gathered(it, "text", UNIT):
             texts = b.column("text").to_pylist()
             r = _runs(texts, k, m, np.empty(0, np.uint64))
             low, c = np.unique(r["low"], return_counts=True) if r else (np.empty(0, np.uint64), np.empty(0, np.int64))
             big = c * keep >= c.sum()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *low[big].view(np.int64)], pa.int64()), pa.array([int(c.sum()), *c[big]], pa.int64()), pa.array([sum(map(len, texts)), *[0] * int(big.sum())], pa.int64())],
-                ["low", "n", "bytes"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([None, *low[big].view(np.int64)], pa.int64()), pa.array([int(c.sum()), *c[big]], pa.int64())], ["low", "n"])
 
     return run
 
@@ -90,7 +87,7 @@ HEAD = "<II"  # known repeats, super-k-mers
 def _pack(parts: int, deal: list[int], k: int, m: int, hot: np.ndarray):
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
-        for b in units(it, "text", UNIT):
+        for b in gathered(it, "text", UNIT):
             r = _runs(b.column("text").to_pylist(), k, m, hot)
             if r is None:
                 continue
@@ -236,12 +233,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3) -> DataFrame:
     base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), text_bytes().alias("text"))
     twice = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     base = base.withColumn("tag", F.xxhash64("text") if twice else F.lit(0).cast("long"))
-    census = base.select("text").mapInArrow(_census(k, m, 16384), "low long, n long, bytes long").groupBy("low").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    total = census.filter("low is null").first()
-    size = int(total["bytes"]) if total else 0
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART))
-    least = max(2, (int(total["n"]) if total else 0) // (4 * min(max(parts, 64), 4096)))
-    # sums to n at most, so no more than 16384 minimisers can reach the threshold
+    # a unit leaves out counts below 1/keep of its own, together 1/keep of all at most: what holds 2/keep is never missed
+    keep = 8 * min(max(parts, 64), 4096)
+    census = base.select("text").mapInArrow(_census(k, m, keep), "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
+    total = census.filter("low is null").first()
+    least = max(2, -(-(int(total["n"]) if total else 0) // keep))
+    # the counts sum to n at most, so no more than keep, 32768, minimisers can reach the threshold
     hot = np.array(sorted(x["low"] for x in census.filter(F.col("low").isNotNull() & (F.col("n") >= least)).collect()), np.int64).view(np.uint64)
     n = max(min(parts, TASKS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # bucket partitions are dealt evenly: to each task goes a number that Spark's hash sends there
