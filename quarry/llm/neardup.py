@@ -7,9 +7,9 @@ Every tree branches the classes by one minwise token at the root. A node of at m
 classes is compared exhaustively, by 32-byte sketches; what may be similar becomes a candidate edge. A
 larger node is first compared with a leader of its own: classes close to the leader get an edge to it
 and leave the node, the rest branches again by two further minwise tokens that are not on the path.
-What is still large after `depth` levels is cut into blocks by a hash, with leaders handed on to a
-next round among themselves. `trees` independent trees give a pair at the threshold a miss
-probability of 0.25**trees at the roots (12 trees: 6e-8).
+What is still large after `depth` levels is compared whole: cut into blocks by a hash, every block within
+itself and with every other, so that no pair of the node goes unseen. `trees` independent trees give a
+pair at the threshold a miss probability of 0.25**trees at the roots (12 trees: 6e-8).
 
 Candidate edges form clusters, and within clusters links are confirmed on the full sets, which are
 made again from the whole texts: pairs whose sizes allow the threshold and that are not yet connected
@@ -146,7 +146,7 @@ def _alike(sk: np.ndarray, i: int) -> np.ndarray:
 
 
 def _node_edges(cls: list[bytes], sk: list[bytes]):
-    """Spanning candidate edges of one node, and its leaders (one class per candidate component)."""
+    """Spanning candidate edges of one node, and the head of each class: the first of its candidate component."""
     n = len(cls)
     m = np.frombuffer(b"".join(sk), np.uint8).reshape(n, -1)
     f, edges = Forest(n), []
@@ -154,7 +154,7 @@ def _node_edges(cls: list[bytes], sk: list[bytes]):
         for j in (np.flatnonzero(_alike(m, i) >= LIKELY) + i + 1).tolist():
             if f.join(i, j):
                 edges.append((cls[i], cls[j]))
-    return edges, [i for i in range(n) if f.find(i) == i]
+    return edges, [f.find(i) for i in range(n)]
 
 
 def _groups(it, key: str, names: list[str]):
@@ -176,37 +176,82 @@ def _groups(it, key: str, names: list[str]):
 EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _compare_nodes(leaders: bool):
-    """Exhaustive comparison of nodes: edges, and for blocks also rows (leader, null) of the path."""
+def _edge_batch(edges):
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.binary()), pa.array([y for _, y in edges], pa.binary())], schema=EDGE)
 
-    def run(it):
-        a, b, p, s = [], [], [], []
-        for path, rows in _groups(it, "key", ["path", "cls", "sketch"]):
-            if len(rows) > 1:
-                edges, heads = _node_edges([r[1] for r in rows], [r[2] for r in rows])
-                a += [x for x, _ in edges]
-                b += [y for _, y in edges]
-                p += [None] * len(edges)
-                s += [None] * len(edges)
-            else:
-                heads = [0]
-            if leaders:
-                a += [rows[i][1] for i in heads]
-                b += [None] * len(heads)
-                p += [rows[i][0] for i in heads]
-                s += [rows[i][2] for i in heads]
-            if len(a) > 20000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(p, pa.int64()), pa.array(s, pa.binary())], ["a", "b", "path", "sketch"])
-                a, b, p, s = [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(p, pa.int64()), pa.array(s, pa.binary())], ["a", "b", "path", "sketch"])
-
-    return run
 
-
-def _compare(nodes: DataFrame, key, leaders: bool = False) -> DataFrame:
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select(key.alias("key"), "path", "cls", "sketch").repartition(n, "key").sortWithinPartitions("key", "cls")
-    return rows.mapInArrow(_compare_nodes(leaders), "a binary, b binary, path long, sketch binary")
+def _compare_nodes(it):
+    """Exhaustive comparison of nodes: edges."""
+    out = []
+    for _, rows in _groups(it, "key", ["cls", "sketch"]):
+        if len(rows) > 1:
+            out += _node_edges([r[0] for r in rows], [r[1] for r in rows])[0]
+        if len(out) > 20000:
+            yield _edge_batch(out)
+            out = []
+    yield _edge_batch(out)
+
+
+BLOCK = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("path", pa.int64()), ("block", pa.int64()), ("blocks", pa.int64()), ("sketch", pa.binary())])
+
+
+def _compare_blocks(it):
+    """Exhaustive comparison within blocks: edges (a, b), and in nodes of several blocks a row with the path for each
+    distinct sketch of the block: a class that has it, and as b the head of the class's component in the block."""
+    for _, rows in _groups(it, "key", ["path", "block", "blocks", "cls", "sketch"]):
+        cls, sk = [r[3] for r in rows], [r[4] for r in rows]
+        edges, heads = _node_edges(cls, sk)
+        none = [None] * len(edges)
+        yield pa.RecordBatch.from_arrays([*_edge_batch(edges).columns, pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], schema=BLOCK)
+        path, block, blocks = rows[0][:3]
+        if blocks > 1:
+            first = {}  # equal sketches have the same edges to other blocks
+            for i, x in enumerate(sk):
+                first.setdefault(x, i)
+            k = list(first.values())
+            same = lambda x: pa.array([x] * len(k), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in k], pa.binary()), pa.array([cls[heads[i]] for i in k], pa.binary()), same(path), same(block), same(blocks), pa.array([sk[i] for i in k], pa.binary())], schema=BLOCK)
+
+
+def _compare_pairs(it):
+    """Exhaustive comparison of two blocks of a node with each other; classes with one head are connected already."""
+    for _, rows in _groups(it, "key", ["block", "cls", "head", "sketch"]):
+        number = {}
+        head = np.array([number.setdefault(r[2], len(number)) for r in rows])
+        one = np.array([r[0] == rows[0][0] for r in rows])
+        m = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        other = np.flatnonzero(~one)
+        m2, head2, f, apart, edges = m[other], head[other], Forest(len(number)), len(number), []
+        for i in np.flatnonzero(one).tolist():
+            if apart == 1:
+                break
+            at = np.flatnonzero((m2 == m[i]).sum(1) >= LIKELY)
+            for j in at[np.unique(head2[at], return_index=True)[1]].tolist():
+                if f.join(int(head[i]), int(head2[j])):
+                    edges.append((rows[i][1], rows[int(other[j])][1]))
+                    apart -= 1
+        yield _edge_batch(edges)
+
+
+def _grouped(rows: DataFrame, run, schema: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(run, schema)
+
+
+def _whole(rest: DataFrame, size: int) -> DataFrame:
+    """Spanning candidate edges of nodes of any size (path, cls, sketch): every pair of a node is compared, by blocks of about `size`."""
+    counts = rest.groupBy("path").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    rows = rest.join(counts, "path").withColumn("block", F.pmod(F.xxhash64("path", "cls"), F.col("blocks")))
+    rows = rows.withColumn("key", F.xxhash64("path", "block")).select("key", "path", "block", "blocks", "cls", "sketch")
+    found = materialise(_grouped(rows, _compare_blocks, "a binary, b binary, path long, block long, blocks long, sketch binary"), "blocks")
+    edges = found.filter("path is null").select("a", "b")
+    parts = found.filter("path is not null")
+    if not parts.limit(1).count():
+        return edges
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("other <> block")
+    key = F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))
+    pairs = parts.select(key.alias("key"), "block", F.col("a").alias("cls"), F.col("b").alias("head"), "sketch")
+    return edges.union(_grouped(pairs, _compare_pairs, "a binary, b binary"))
 
 
 def _near_leader(it):
@@ -223,7 +268,8 @@ def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024,
         counts = nodes.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1")
         nodes = nodes.join(counts, "path")
         nodes = materialise(nodes, f"nodes{level}")
-        small = _compare(nodes.filter(F.col("c") <= node_limit), F.col("path")).select("a", "b").distinct()
+        small = nodes.filter(F.col("c") <= node_limit).select(F.col("path").alias("key"), "cls", "sketch")
+        small = _grouped(small, _compare_nodes, "a binary, b binary").distinct()
         edges = small if edges is None else edges.union(small)
         large = nodes.filter(F.col("c") > node_limit).drop("c")
         if not large.limit(1).count():
@@ -236,20 +282,7 @@ def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024,
         rest = near.filter((F.col("same") < CLOSE) | (F.col("cls") == F.col("lead"))).select("path", "taken", "cls", "sketch")
         if level < depth:
             nodes = rest.join(classes.select("cls", "sig"), "cls").select("path", "taken", "cls", "sketch", "sig").mapInArrow(_branch(width), NODE)
-    # still large: blocks, whose leaders meet again
-    rest = rest.select("path", "cls", "sketch")
-    while True:
-        counts = rest.groupBy("path").agg(F.count("*").alias("c"))
-        split = rest.join(counts, "path").withColumn("blocks", F.ceil(F.col("c") / node_limit))
-        key = F.xxhash64("path", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-        more = materialise(_compare(split, key, True), "blocks")
-        edges = edges.union(more.filter("b is not null").select("a", "b"))
-        left = more.filter("b is null").select("path", F.col("a").alias("cls"), "sketch")
-        before, after = rest.count(), left.count()
-        whole = counts.filter(F.col("c") > node_limit).limit(1).count() == 0
-        if whole or after == 0 or after > 0.9 * before:
-            return edges  # no candidates among what is left but by chance of the blocks: other trees have those
-        rest = left
+    return edges.union(_whole(rest.select("path", "cls", "sketch"), 4 * node_limit).distinct())
 
 
 def _links(sets: list[np.ndarray], sk: np.ndarray, num: int, den: int, fresh: np.ndarray | None = None, f: Forest | None = None):

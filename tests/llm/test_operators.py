@@ -292,6 +292,29 @@ def test_near_groups(spark, how):
     assert as_text(neardup.near_groups(frame(spark, rows), **how).collect()) == as_text(near_brute(rows))
 
 
+def test_large_nodes_are_compared_whole(spark):
+    """Near pairs that share a passage with very many others, in one node of many times node_limit: no pair of it is lost."""
+    rng = random.Random(4)
+    own = lambda k: [f"w{rng.randrange(1 << 40)}" for _ in range(k)]
+    passage, rows = own(34), []
+    for i in range(300):
+        a = own(66)
+        rows += [" ".join(passage + a), " ".join(passage + a[:-1] + own(1))]
+    sets = neardup.shingle_sets([t.encode() for t in rows])
+    cls, sig = [neardup.digest(x) for x in sets], np.array([neardup.signature(x) for x in sets])
+    # the one tree branches by the order under which the most documents have the same token
+    most = max(range(neardup.POSITIONS), key=lambda t: np.unique(sig[:, t], return_counts=True)[1].max())
+    sig = np.roll(sig, -most, 1)
+    sk = np.array([np.frombuffer(neardup.sketch(x), np.uint8) for x in sig])
+    classes = spark.createDataFrame([(c, x.tobytes()) for c, x in zip(cls, sig)], "cls binary, sig binary")
+    f, at = neardup.Forest(len(rows)), {c: i for i, c in enumerate(cls)}
+    for r in neardup.candidate_edges(classes, trees=1, node_limit=4, depth=0).collect():
+        f.join(at[r["a"]], at[r["b"]])
+    want = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sig[i, 0] == sig[j, 0] and (sk[i] == sk[j]).sum() >= neardup.LIKELY]
+    assert np.unique(sig[:, 0], return_counts=True)[1].max() > 100 and len(want) > 100
+    assert [(i, j) for i, j in want if f.find(i) != f.find(j)] == []
+
+
 def test_near_groups_empty(spark):
     assert neardup.near_groups(frame(spark, [])).collect() == []
     assert neardup.keep_first(frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, None)])).count() == 2
