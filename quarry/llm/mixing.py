@@ -5,7 +5,7 @@ words; what is cut off is shared again by weight among the others until none is
 Every document of a source is taken floor(target / source words) times. For the rest of the budget
 the documents are counted by exact length: each length gives its proportional share, a greedy pass
 takes the rest down to a small remainder, and a bounded-knapsack table over the lengths that are left
-fits that remainder exactly wherever a sum does. Within a length, documents are selected by a seeded
+fits that remainder exactly wherever a sum does. If none does, picks are undone for wider tables. Within a length, documents are selected by a seeded
 hash.
 
 Skew: the plan is made from counts by length, never from documents. Selecting k of n documents of one
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE, batched, join_texts, materialise, text_bytes, units
 
-TABLE = 1 << 16  # the largest remainder that the knapsack table is made for
+TABLE = 1 << 16  # the remainder that the first knapsack table is made for
+WIDEST = 1 << 26  # and the last one, 0.3 GB
 
 
 def word_counts(it):
@@ -41,17 +42,37 @@ def word_counts(it):
         yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array(n, pa.int64())], [*(c for c in b.schema.names if c != "text"), "size"])
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE, seed: int = 0) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to the budget, from below, as can be found."""
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE, seed: int = 0, widest: int = WIDEST) -> np.ndarray:
+    """How many documents of each length to take so that their words come as near to the budget, from below, as can be found.
+
+    Where a table misses the budget, proportional picks are undone for one four times as wide, until a sum is exact,
+    the table holds the whole budget (then no sum is nearer) or it would be beyond `widest`.
+    """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return take
     if budget >= total:
         return counts.copy()
+    unit = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)]))
+    lengths, budget, total = lengths // unit, budget // unit, total // unit
+    best, undo = None, 0
+    while True:
+        take = _fit(lengths, counts, budget, total, table, undo, seed)
+        if best is None or (take * lengths).sum() > (best * lengths).sum():
+            best = take
+        if (best * lengths).sum() == budget or table >= budget or table >= widest:
+            return best
+        table = min(4 * max(table, 1), max(widest, table))
+        undo = table
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int, table: int, undo: int, seed: int) -> np.ndarray:
+    """fit_budget with one table; proportional picks are made for the budget less `undo`."""
+    take = np.zeros(len(lengths), np.int64)
     left = budget
     if budget > table:
-        take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+        take = np.array([int(c) * (budget - undo) // total for c in counts.tolist()], np.int64)
         left -= int((take * lengths).sum())
         order = np.random.Generator(np.random.PCG64(seed)).permutation(len(lengths))
         while left > table:
@@ -62,7 +83,12 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
                     left -= int(lengths[i])
                     if left <= table:
                         break
-            if left == before:
+            if left == before:  # each length that is free is over left - table / 2: at most one more document fits
+                fits = np.flatnonzero((lengths > 0) & (lengths <= left) & (take < counts))
+                if len(fits):
+                    i = fits[np.argmax(lengths[fits])]
+                    take[i] += 1
+                    left -= int(lengths[i])
                 break
     cap = min(left, max(table, 1))
     # bounded knapsack: first[r] is the first item with which the sum r can be reached

@@ -366,6 +366,21 @@ def test_budget_is_met_as_nearly_as_any_sum(items, budget):
     assert (near <= counts).all() and (near * lengths).sum() <= budget
 
 
+@pytest.mark.parametrize("lengths, counts, budget, best", [([90_000, 200_000], [3, 1], 290_000, 290_000), ([70_001, 90_000, 200_000], [2, 3, 1], 340_003, 340_002), ([100_000], [5], 250_000, 200_000), ([7, 1000], [1, 900], 500_500, 500_007)])
+def test_budget_with_lengths_above_the_table(lengths, counts, budget, best):
+    take = mixing.fit_budget(np.array(lengths), np.array(counts), budget)
+    assert (take <= counts).all() and (take * lengths).sum() == best
+
+
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(1, 4)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.integers(0, 400))
+@settings(max_examples=200, deadline=None)
+def test_budget_is_met_as_nearly_as_any_sum_with_small_tables(items, budget):
+    lengths, counts = (np.array(x, np.int64) for x in zip(*sorted(items)))
+    sums = {sum(x) for x in itertools.product(*([k * n for k in range(c + 1)] for n, c in zip(lengths.tolist(), counts.tolist())))}
+    take = mixing.fit_budget(lengths, counts, budget, table=16)
+    assert (take <= counts).all() and (take * lengths).sum() == max(x for x in sums if x <= budget)
+
+
 def test_mix(spark):
     rows = corpus(6)
     got = mixing.mix_sources(frame(spark, rows)).collect()
