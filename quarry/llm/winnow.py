@@ -11,7 +11,9 @@ ranges of the id, each text moving once, and the last document of each range wai
 the next, as few rows as there are ranges.
 
 Defined cases: null text is empty; a null doc_id comes after all others; rows that share an id follow
-each other by text; a single row is its own successor; an empty table gives an empty result.
+each other by their first 256 code points, then by SHA-256 of the text, and ranges may cut between any
+two of them; a single row is its own successor; very long texts are hashed in pieces of 262,144 windows;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +137,12 @@ def compare_with_next(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_rows = base.repartitionByRange(n, "rid").sortWithinPartitions("rid", "text").select("doc_id", "text")
+    keys = ["rid"]
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        # many rows of one id (or with none) are spread over ranges too; equal ones by where they stand in the input
+        base = base.withColumn("head", F.substring("text", 1, 256)).withColumn("sha", F.sha2(F.col("text"), 256)).withColumn("nth", F.monotonically_increasing_id())
+        keys += ["head", "sha", "nth"]
+    sorted_rows = base.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     rows = materialise(sorted_rows.mapInArrow(_stream(k, w), DDL), "compared")
     parts = sorted(x[0] for x in rows.filter("kind = 1").select("part").collect())  # one number per range
     if not parts:

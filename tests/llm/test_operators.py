@@ -138,6 +138,17 @@ def test_compare_with_next(spark):
     assert [len(r["hashes"]) > 0 for r in winnow.fingerprints(frame(spark, [(1, "abc"), (2, None)])).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_compare_with_next_where_many_rows_share_an_id(spark):
+    """Null ids among others, and one id on most rows: each row is compared with its successor, and no range holds them all."""
+    rng = random.Random(9)
+    rows = [(5, text_of(rng, 8)) for _ in range(60)] + [(None, text_of(rng, 8)) for _ in range(40)] + [(i, text_of(rng, 8)) for i in range(10)] + [(5, "same")] * 20
+    got = sorted((r["near_next"], r["edited_sha256"]) for r in winnow.compare_with_next(frame(spark, rows)).collect())
+    order = sorted(rows, key=lambda r: (MAX_ID if r[0] is None else r[0], r[1].encode()))
+    hashes = [winnow.fingerprint(t)[0] for _, t in order]
+    want = sorted((winnow.likeness(hashes[i], hashes[(i + 1) % len(order)]), hashlib.sha256(winnow.edit(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (_, t) in enumerate(order))
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def model():
     with open(pieces.MODEL, "rb") as f:
