@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ MAX_ID = (1 << 63) - 1  # stands for a null doc_id, so that nulls sort after eve
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset a folder of our own, in local mode only."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = _own_dir()
     return where.rstrip("/")
 
@@ -41,28 +44,55 @@ def _remove_own() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+_SCOPE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/quarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return "/".join([scratch_dir(spark), f"quarry-{spark.sparkContext.applicationId}", *_SCOPE, f"{name}-{uuid.uuid4().hex[:12]}"])
+
 
+def materialise(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: cuts lineage, survives lost executors.
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts lineage, survives lost executors."""
+    The table's path is added to `paths`, for `drop_scratch` once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder through Hadoop's file system, wherever it lies."""
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch folders through Hadoop's file system, wherever they lie; the list is empty after that."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str):
+    """What scratch tables are made inside lie in one folder, deleted at the end: results must have been written elsewhere by then."""
+    path = scratch_path(spark, name)
+    _SCOPE.append(path.rsplit("/", 1)[1])
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+        drop_scratch(spark, [path])
+
+
+def whole_row(df: DataFrame):
+    """All columns of df as one struct: helper columns beside it cannot clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def batched(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches bounded to 512 rows and 8 MB: at the default of 10,000 rows a batch of long
-    texts is far beyond what a worker, and the JVM's direct memory, should hold at once."""
+    texts is far beyond what a worker, and the JVM's direct memory, should hold at once. The setting stays (it is only
+    ever lowered), as plans that are returned from here run later."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = str(conf.get(key)).removesuffix("b")

@@ -1,40 +1,43 @@
-"""Connected components of an edge table by repeated contraction to smallest neighbours."""
+"""Connected components of an edge table by alternating large stars and small stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import drop_scratch, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label for every node of edges (a, b): the label is one node per component.
+    """node, label for every node of edges (a, b): the label is the smallest node of the component.
 
-    Each round every node points at its smallest neighbour or itself, and edges are rewritten to what
-    their ends point at; what is left shrinks at least by half a round. Nothing is collected. A hub's
-    edges are pre-aggregated map-side (min), so its degree does not meet in one task.
+    Each round joins every node's larger neighbours with the smallest node around it (large star), then
+    every node's smaller neighbours and itself with the smallest of these (small star), until every
+    component is one star; the number of rounds grows with the square of the logarithm of the nodes at
+    most. Nothing is collected, and what a round has read is deleted. A hub's minimum is pre-aggregated
+    map-side; where its edges meet that minimum, AQE may split them.
     """
-    spark = edges.sparkSession
-    rest = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    steps = []
-    while rest.limit(1).count():
+    spark, old = edges.sparkSession, []
+    rest = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", old)
+    while not _stars(rest):
+        new = []
         both = rest.select(F.col("a").alias("node"), F.col("b").alias("to")).union(rest.select("b", "a"))
-        step = materialise(both.groupBy("node").agg(F.least("node", F.min("to")).alias("to")), "step")
-        steps.append(step)
-        a = step.select(F.col("node").alias("a"), F.col("to").alias("a2"))
-        b = step.select(F.col("node").alias("b"), F.col("to").alias("b2"))
-        rest = rest.join(a, "a").join(b, "b").filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        rest = materialise(rest.distinct(), "edges")
-        # a node that points at one which itself points on is followed up by an edge
-        chain = step.alias("x").join(step.alias("y"), F.col("x.to") == F.col("y.node")).filter("y.node <> y.to")
-        chain = chain.select(F.col("y.to").alias("a"), F.col("y.node").alias("b"))
-        rest = materialise(rest.union(chain).distinct(), "edges")
-    if not steps:
-        kind = edges.schema["a"].dataType.simpleString()
-        return spark.createDataFrame([], f"node {kind}, label {kind}")
-    out = steps[0].select("node", F.col("to").alias("label"))
-    for step in steps[1:]:
-        nxt = step.select(F.col("node").alias("label"), F.col("to").alias("next"))
-        out = out.join(nxt, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return materialise(out, "labels")
+        least = both.groupBy("node").agg(F.least("node", F.min("to")).alias("a"))
+        large = both.join(least, "node").filter("to > node").select("a", F.col("to").alias("b"))
+        large = materialise(large.distinct(), "large", old)
+        least = large.groupBy("b").agg(F.min("a").alias("least"))
+        small = large.join(least, "b")
+        small = small.select(F.col("least").alias("a"), "b").union(small.filter("a <> least").select("least", "a"))
+        rest = materialise(small.distinct(), "edges", new)
+        drop_scratch(spark, old)
+        old = new
+    out = rest.select(F.col("b").alias("node"), F.col("a").alias("label")).union(rest.select("a", "a").distinct())
+    out = materialise(out, "labels")
+    drop_scratch(spark, old)
+    return out
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("a", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").limit(1).count()
