@@ -1,7 +1,7 @@
 """Exact dedup with a log-structured merge index.
 
-Each task is a memtable: it groups texts by their bytes, and when it holds `memtable_bytes` of text it
-flushes a sorted run: per digest the staying identifier, the number of rows and the member ids, cut
+Each task is a memtable: it groups texts by their bytes, and when it holds `memtable_bytes` of texts and
+identifiers (copies count too) it flushes a sorted run: per digest the staying identifier, the number of rows and the member ids, cut
 into segments by digest prefix, each segment with a Bloom filter. Runs are written to the shared
 folder. Compaction merges the segments of a prefix, smallest first; the filter of the larger segment
 decides which digests are looked up in it at all. A digest found in more than one entry is a hit, and
@@ -12,8 +12,9 @@ Skew: copies of one text are collapsed within a run before anything is shuffled,
 size has at most one entry per run. Members are joined back by digest, which AQE may split.
 
 Defined cases: null text counts as empty, and empty texts equal each other; a null doc_id stays only
-where its group has no other id; of rows repeated with one id exactly one is kept; an empty table
-gives an empty result; other columns are ignored.
+where its group has no other id; of rows repeated with one id exactly one is kept; a text longer than
+a memtable is a run of its own; an empty table gives an empty result; other columns are ignored, and
+`keep_one` passes them on under any name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batched, materialise, text_bytes, units
+from quarry.llm.common import batched, materialise, text_bytes, units, whole_row
 
 NONE = -(1 << 63)  # the score of a null id: below all others
 RUNS = "run long, bucket int, digest binary, best long, n long, ids array<long>, segment binary, filter binary"
@@ -126,12 +127,13 @@ def _memtables(memtable_bytes: int, width: int, buckets: int, largest: bool):
                 score = NONE if i is None else i if largest else ~i
                 if text in table:
                     table[text].append(score)
+                    size += 40
                 else:
                     table[text] = [score]
                     size += len(text) + 200
-            if size >= memtable_bytes:
-                yield flush(part << 32 | seq, table)
-                seq, table, size = seq + 1, {}, 0
+                if size >= memtable_bytes:
+                    yield flush(part << 32 | seq, table)
+                    seq, table, size = seq + 1, {}, 0
         if table:
             yield flush(part << 32 | seq, table)
 
@@ -194,7 +196,7 @@ def exact_groups(docs: DataFrame, largest: bool = False, memtable_bytes: int = 1
     # byte check: the texts of the representatives of all entries of a hit must agree
     score = F.when(F.col("doc_id").isNull(), F.lit(NONE)).otherwise(F.col("doc_id") if largest else F.bitwise_not("doc_id"))
     reps = members.join(hits.select("key"), "key", "left_semi").select("key", "digest", "best").distinct()
-    texts = base.select(score.alias("best"), "text").join(reps, "best").filter(F.unhex(F.sha2("text", 256)) == F.col("digest"))
+    texts = base.select(score.alias("best"), F.unhex(F.sha2("text", 256)).alias("digest"), "text").join(reps, ["best", "digest"])
     bad = materialise(texts.groupBy("key").agg((F.min("text") == F.max("text")).alias("same")).filter("not same").select("key"), "bad")
     group = members.join(hits, "key", "left")
     found = (F.coalesce("keep", "best").alias("keep"), F.coalesce("keep_run", "run").alias("keep_run"), F.coalesce("size", "n").alias("size"))
@@ -217,11 +219,10 @@ def exact_groups(docs: DataFrame, largest: bool = False, memtable_bytes: int = 1
 
 
 def keep_one(docs: DataFrame, largest: bool = False) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    groups = exact_groups(docs, largest)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
-    sha = F.sha2(text_bytes(), 256)
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (sha == F.col("_keep_sha")), "left_semi")
+    """The rows of docs that stay, with all their columns, whatever their names."""
+    kept = exact_groups(docs, largest).filter("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.unhex(F.sha2(text_bytes(), 256)).alias("own_sha"), whole_row(docs).alias("row"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.withColumn("_t", text_bytes()).dropDuplicates(["doc_id", "_t"]).drop("_t")
-    return out
+        rows = rows.withColumn("bytes", text_bytes("row.text")).dropDuplicates(["own_id", "bytes"])
+    return rows.select("row.*")
