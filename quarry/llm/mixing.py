@@ -10,10 +10,11 @@ hash.
 
 Skew: the plan is made from counts by length, never from documents. Selecting k of n documents of one
 length cuts each group into 1024 ranges of the hash; whole ranges are in or out by their counts, and
-only the one range where the k-th lies is ranked.
+only the one range where the k-th lies is ranked. What documents are joined with has one row per source
+and length.
 
 Defined cases: null text has no words; null is a source of its own, after all others; a null doc_id is
-taken like any other; repeated rows are documents of their own; sources without words have target 0
+taken like any other; very long texts count like others (lengths beyond the table too); repeated rows are documents of their own; sources without words have target 0
 and take nothing; empty documents are copied like the rest of their source, adding nothing; an empty
 table gives an empty result; reruns agree.
 """
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, batched, join_texts, materialise, text_bytes, units
+from quarry.llm.common import SPACE, batched, join_texts, materialise, text_bytes, units, whole_row
 
 TABLE = 1 << 16  # the remainder that the first knapsack table is made for
 WIDEST = 1 << 26  # and the last one, 0.3 GB
+RANGES = 1 << 10  # of the selecting hash
 
 
 def word_counts(it):
@@ -116,11 +118,26 @@ def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int, table
     return take
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `rank`, their place by key, nulls last: ranges are sorted apart, and one count a range comes to the driver."""
+    spark = rows.sparkSession
+    order = F.col(key).asc_nulls_last()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise(rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("place", 33)  # the upper bits are the partition's number
+    counts = rows.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    first, before = [], 0
+    for x in counts:
+        first.append((x["part"], before))
+        before += x["n"]
+    first = F.broadcast(spark.createDataFrame(first, "part int, before long"))
+    return rows.join(first, part.cast("int") == F.col("part")).withColumn("rank", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "before", "place")
+
+
 def targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sources (source, source_size, one row each) with rank-dealt weight and target; one row per source, not per document."""
-    ranked = sources.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("weight", F.array(*(F.lit(float(w)) for w in weights))[F.col("rank") % len(weights)]).drop("rank")
-    ranked = materialise(ranked, "sources")
+    dealt = F.array(*(F.lit(float(w)) for w in weights))
+    ranked = materialise(numbered(sources, "source").withColumn("weight", F.get(dealt, (F.col("rank") % len(weights)).cast("int"))).drop("rank"), "sources")
     cap = F.col("source_size") * F.lit(float(most))
     budget = float(ranked.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = None, -1
@@ -152,22 +169,19 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
         take = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(pdf["budget"].iloc[0]), seed=seed)
         return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "n": pdf["n"], "k": take})
 
-    picks = materialise(lengths.groupBy("source").applyInPandas(plan, "source string, size long, n long, k long"), "picks")
-    some = picks.filter("k > 0 and k < n").select(F.col("source").alias("s"), F.col("size").alias("z"), "k")
+    picks = lengths.groupBy("source").applyInPandas(plan, "source string, size long, n long, k long").filter("k > 0")
+    picks = materialise(picks.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "k"), "picks")
     on_length = join("source", "s") & (F.col("size") == F.col("z"))
-    ranges = sizes.groupBy("source", "size", "range").agg(F.count("*").alias("m")).join(some, on_length).drop("s", "z")
-    upto = F.sum("m").over(W.partitionBy("source", "size").orderBy("range"))
-    ranges = ranges.withColumn("upto", upto).select(
-        F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("r"),
-        F.when(F.col("upto") <= F.col("k"), F.col("m")).when(F.col("upto") - F.col("m") >= F.col("k"), 0).otherwise(F.col("k") - F.col("upto") + F.col("m")).alias("quota"), "m",
-    )
-    ranges = materialise(ranges, "ranges")
-    on_range = on_length & (F.col("range") == F.col("r"))
-    all_of = picks.filter("k = n and k > 0").select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.lit(1).alias("all"))
-    edge = (F.col("quota") > 0) & (F.col("quota") < F.col("m"))
-    clear = sizes.join(ranges, on_range, "left").filter(~F.coalesce(edge, F.lit(False)))
-    clear = clear.join(all_of, join("source", "s2") & (F.col("size") == F.col("z2")), "left").withColumn("extra", F.when(F.coalesce("quota", "all", F.lit(0)) > 0, 1).otherwise(0))
-    ranked = sizes.join(ranges.filter(edge), on_range).withColumn("i", F.row_number().over(W.partitionBy("source", "size", "range").orderBy("h", "doc_id", "tag")))
+    # of n documents of a length k are taken: all of the ranges before the one with the k-th, none of those behind it, `quota` of its m
+    ranges = sizes.groupBy("source", "size", "range").agg(F.count("*").alias("m")).join(picks.filter("k < n").drop("n"), on_length)
+    upto = F.sum("m").over(W.partitionBy("s", "z").orderBy("range"))
+    cut = ranges.withColumn("upto", upto).filter("upto >= k and upto - m < k").select("s", "z", F.col("range").alias("r"), (F.col("k") - F.col("upto") + F.col("m")).alias("quota"), "m")
+    every = picks.filter("k = n").select("s", "z", F.lit(RANGES).alias("r"), F.lit(0).cast("long").alias("quota"), F.lit(0).cast("long").alias("m"))
+    cuts = materialise(cut.unionByName(every), "cuts")  # one row per source and length
+    split = F.coalesce((F.col("range") == F.col("r")) & (F.col("quota") < F.col("m")), F.lit(False))
+    taken = F.coalesce((F.col("range") < F.col("r")) | ((F.col("range") == F.col("r")) & (F.col("quota") == F.col("m"))), F.lit(False))
+    clear = sizes.join(cuts, on_length, "left").filter(~split).withColumn("extra", taken.cast("int"))
+    ranked = sizes.join(cuts, on_length).filter(split).withColumn("i", F.row_number().over(W.partitionBy("source", "size", "range").orderBy("h", "doc_id", "tag")))
     ranked = ranked.withColumn("extra", (F.col("i") <= F.col("quota")).cast("int"))
     cols = ["doc_id", "source", "tag", "size", "extra"]
     chosen = clear.select(*cols).unionByName(ranked.select(*cols))
@@ -177,11 +191,11 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
 
 
 def repeat_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns."""
-    plan = mix_sources(docs, **how).groupBy("doc_id", "tag").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "_copies")
-    rows = docs.withColumn("_own", F.xxhash64(text_bytes()))
+    """The rows of docs as often as the mix takes them, with all their columns, whatever their names."""
+    plan = mix_sources(docs, **how).groupBy("doc_id", "tag").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("id"), F.col("tag").alias("tag"), "copies")
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_bytes()).alias("own_tag"), whole_row(docs).alias("row"))
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id", "_own"])  # their copies have been summed
-    rows = rows.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")))
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+        rows = rows.dropDuplicates(["own_id", "own_tag"])  # their copies have been summed
+    rows = rows.join(plan, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
