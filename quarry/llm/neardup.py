@@ -13,13 +13,15 @@ pair at the threshold a miss probability of 0.25**trees at the roots (12 trees:
 
 Candidate edges form clusters, and within clusters links are confirmed on the full sets, which are
 made again from the whole texts: pairs whose sizes allow the threshold and that are not yet connected
-are intersected exactly. Clusters over `cluster_limit` are cut into blocks that each get the
-cluster's pivot; the few classes not connected with the pivot are then compared with every block, so
-that no pair goes unseen. Only spanning links leave a task, never all pairs of a group.
+are intersected exactly. Clusters over `cluster_limit` classes or `set_limit` shingles are cut into
+blocks that each get the cluster's pivot; the classes not connected with the pivot are cut into parts
+by the same limits, and every part is compared with every block, so that no pair goes unseen and a
+task holds one block and one part at most. Only spanning links leave a task, never all pairs of a group.
 
 Defined cases: null, empty or blank texts have the empty set, are linked with nothing and stay; a null
 doc_id counts as larger than all others; rows that repeat a doc_id keep their own sets, share links
-and are all kept where that id is; an empty table gives an empty result; other columns are ignored.
+and are all kept where that id is; a very long text is one set, in a block of its own size; an empty
+table gives an empty result; other columns are ignored, and `keep_first` passes them on under any name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_ID, batched, grams, join_texts, materialise, mix, rid, text_bytes, units, words_of
+from quarry.llm.common import MAX_ID, batched, drop_scratch, grams, join_texts, materialise, mix, rid, text_bytes, units, whole_row, words_of
 from quarry.llm.graph import components
 
 POSITIONS = 32
@@ -238,12 +240,12 @@ def _grouped(rows: DataFrame, run, schema: str) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(run, schema)
 
 
-def _whole(rest: DataFrame, size: int) -> DataFrame:
+def _whole(rest: DataFrame, size: int, paths: list[str]) -> DataFrame:
     """Spanning candidate edges of nodes of any size (path, cls, sketch): every pair of a node is compared, by blocks of about `size`."""
     counts = rest.groupBy("path").agg(F.ceil(F.count("*") / size).alias("blocks"))
     rows = rest.join(counts, "path").withColumn("block", F.pmod(F.xxhash64("path", "cls"), F.col("blocks")))
     rows = rows.withColumn("key", F.xxhash64("path", "block")).select("key", "path", "block", "blocks", "cls", "sketch")
-    found = materialise(_grouped(rows, _compare_blocks, "a binary, b binary, path long, block long, blocks long, sketch binary"), "blocks")
+    found = materialise(_grouped(rows, _compare_blocks, "a binary, b binary, path long, block long, blocks long, sketch binary"), "blocks", paths)
     edges = found.filter("path is null").select("a", "b")
     parts = found.filter("path is not null")
     if not parts.limit(1).count():
@@ -260,14 +262,15 @@ def _near_leader(it):
         yield b.append_column("same", pa.array((x == y).sum(1), pa.int32()))
 
 
-def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024, depth: int = 3, width: int = 2) -> DataFrame:
-    """Spanning candidate edges (a, b) of all tree nodes; classes has cls, sig."""
+def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024, depth: int = 3, width: int = 2, paths: list[str] | None = None) -> DataFrame:
+    """Spanning candidate edges (a, b) of all tree nodes; classes has cls, sig. The scratch tables under the result are added to paths."""
+    paths = [] if paths is None else paths
     nodes = classes.select("cls", "sig").mapInArrow(_roots(trees), NODE)
     edges = None
     for level in range(depth + 1):
         counts = nodes.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1")
         nodes = nodes.join(counts, "path")
-        nodes = materialise(nodes, f"nodes{level}")
+        nodes = materialise(nodes, f"nodes{level}", paths)
         small = nodes.filter(F.col("c") <= node_limit).select(F.col("path").alias("key"), "cls", "sketch")
         small = _grouped(small, _compare_nodes, "a binary, b binary").distinct()
         edges = small if edges is None else edges.union(small)
@@ -277,12 +280,12 @@ def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024,
         lead = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "cls").alias("h"), "cls", "sketch")).alias("m"))
         lead = lead.select("path", F.col("m.cls").alias("lead"), F.col("m.sketch").alias("lead_sketch"))
         near = large.join(lead, "path").mapInArrow(_near_leader, NODE + ", lead binary, lead_sketch binary, same int")
-        near = materialise(near, f"near{level}")
+        near = materialise(near, f"near{level}", paths)
         edges = edges.union(near.filter((F.col("same") >= LIKELY) & (F.col("cls") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct())
         rest = near.filter((F.col("same") < CLOSE) | (F.col("cls") == F.col("lead"))).select("path", "taken", "cls", "sketch")
         if level < depth:
             nodes = rest.join(classes.select("cls", "sig"), "cls").select("path", "taken", "cls", "sketch", "sig").mapInArrow(_branch(width), NODE)
-    return edges.union(_whole(rest.select("path", "cls", "sketch"), 4 * node_limit).distinct())
+    return edges.union(_whole(rest.select("path", "cls", "sketch"), 4 * node_limit, paths).distinct())
 
 
 def _links(sets: list[np.ndarray], sk: np.ndarray, num: int, den: int, fresh: np.ndarray | None = None, f: Forest | None = None):
@@ -334,52 +337,58 @@ def _confirm(num: int, den: int):
     return run
 
 
-def confirmed_links(members: DataFrame, docs: DataFrame, num: int, den: int, cluster_limit: int = 2048) -> DataFrame:
-    """Spanning links (a, b) within the clusters of members (cls, rep, label); docs has rid, text."""
+def _pieces(count: str, total: str, most: int, set_limit: int):
+    """Into how many pieces a group is cut by hash, so that they have about half of what is allowed on average."""
+    return F.when((F.col(count) <= most) & (F.col(total) <= set_limit), 1).otherwise(F.greatest(F.ceil(F.col(count) * 2 / most), F.ceil(F.col(total) * 2 / set_limit))).cast("long")
+
+
+def confirmed_links(members: DataFrame, docs: DataFrame, num: int, den: int, cluster_limit: int = 2048, set_limit: int = 1 << 22) -> DataFrame:
+    """Spanning links (a, b) within the clusters of members (cls, rep, n, label); docs has rid, text."""
     spark = members.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.min("cls").alias("pivot"))
-    members = members.join(sizes, "label").withColumn("blocks", F.when(F.col("c") <= cluster_limit, 1).otherwise(F.ceil(F.col("c") * 2 / cluster_limit)))
+    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("cls").alias("pivot"))
+    members = members.join(sizes, "label").withColumn("blocks", _pieces("c", "total", cluster_limit, set_limit))
     big = members.filter("blocks > 1").limit(1).count() > 0
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    plain = [F.lit(0).alias("role"), (F.col("blocks") > 1).alias("large")]
-    rows = members.select("rep", "cls", F.xxhash64("label", block).alias("key"), *plain)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    sent = lambda role, large, *key: ["rep", "cls", F.xxhash64("label", *key).alias("key"), F.lit(role).alias("role"), large.alias("large")]
+    rows = members.select(*sent(0, F.col("blocks") > 1, block))
     if big:
-        pivots = members.filter((F.col("blocks") > 1) & (F.col("cls") == F.col("pivot")))
-        pivots = pivots.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.filter("not large").unionByName(rows.filter("large")).unionByName(
-            pivots.select("rep", "cls", F.xxhash64("label", "k").alias("key"), F.lit(1).alias("role"), F.lit(True).alias("large")))
+        pivots = members.filter((F.col("blocks") > 1) & (F.col("cls") == F.col("pivot"))).withColumn("k", upto("blocks"))
+        rows = rows.unionByName(pivots.select(*sent(1, F.lit(True), "k")))
 
     def checked(rows):
-        # always by sorting: the plan, and what it moves, is then the same at every size
+        # neither side has a bounded size: both are sorted, at every size, and never broadcast
         texts = docs.join(rows.hint("merge"), docs["rid"] == rows["rep"]).select("key", "cls", "role", "text", "large")
         return texts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_confirm(num, den), "a binary, b binary")
 
     found = materialise(checked(rows), "links")
     links = found.filter("b is not null")
     if big and found.filter("b is null").limit(1).count():
-        residue = found.filter("b is null").select(F.col("a").alias("cls")).distinct()
-        own = members.filter("blocks > 1")
-        spread = own.join(residue, "cls", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        again = own.select("rep", "cls", F.xxhash64("label", block).alias("key"), F.lit(0).alias("role"), F.lit(True).alias("large")).unionByName(
-            spread.select("rep", "cls", F.xxhash64("label", "k").alias("key"), F.lit(2).alias("role"), F.lit(True).alias("large")))
+        apart = members.filter("blocks > 1").join(found.filter("b is null").select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
+        parts = apart.groupBy("label").agg(F.count("*").alias("r"), F.sum("n").alias("s")).select("label", _pieces("r", "s", cluster_limit, set_limit).alias("parts"))
+        every = members.filter("blocks > 1").join(parts, "label").withColumn("block", block).withColumn("part", upto("parts"))
+        spread = apart.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts"))).withColumn("block", upto("blocks"))
+        key = ("block", "part")
+        again = every.select(*sent(0, F.lit(True), *key)).unionByName(spread.select(*sent(2, F.lit(True), *key)))
         links = links.union(materialise(checked(again), "links").filter("b is not null"))
     return links
 
 
-def near_groups(docs: DataFrame, num: int = 75, den: int = 100, **how) -> DataFrame:
+def near_groups(docs: DataFrame, num: int = 75, den: int = 100, cluster_limit: int = 2048, set_limit: int = 1 << 22, **how) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Documents are linked where den * intersection >= num * union of their sets.
     """
-    limit = how.pop("cluster_limit", 2048)
+    spark, paths = docs.sparkSession, []
     base = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), rid().alias("rid"), text_bytes().alias("text"))
     signed = materialise(base.mapInArrow(_sign, "doc_id long, rid long, n long, cls binary, sig binary"), "signed")
-    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("rid").alias("rep"), F.first("sig").alias("sig"))
+    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
-    clusters = components(candidate_edges(classes, **how))
-    members = materialise(clusters.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls"), "members")
-    links = confirmed_links(members, base.select("rid", "text"), num, den, limit)
+    clusters = components(candidate_edges(classes, paths=paths, **how))
+    drop_scratch(spark, paths)
+    members = materialise(clusters.withColumnRenamed("node", "cls").join(classes.select("cls", "rep", "n"), "cls"), "members")
+    links = confirmed_links(members, base.select("rid", "text"), num, den, cluster_limit, set_limit)
     labels = components(links.select("a", "b"))
     reps = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     least = reps.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
@@ -392,6 +401,6 @@ def near_groups(docs: DataFrame, num: int = 75, den: int = 100, **how) -> DataFr
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs of which one document of each group of near copies stays, with all their columns."""
-    kept = near_groups(docs, **how).filter("kept").select(F.coalesce("doc_id", F.lit(MAX_ID)).alias("_kept_id")).distinct()
-    return docs.join(kept, rid() == F.col("_kept_id"), "left_semi")
+    """The rows of docs of which one document of each group of near copies stays, with all their columns, whatever their names."""
+    kept = near_groups(docs, **how).filter("kept").select(F.coalesce("doc_id", F.lit(MAX_ID)).alias("kept_id")).distinct()
+    return docs.select(rid().alias("own_id"), whole_row(docs).alias("row")).join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").select("row.*")

@@ -429,3 +429,39 @@ def test_mix(spark):
     words = sum(size(r["text"]) for r in mixing.repeat_rows(frame(spark, rows)).collect())
     assert words == sum(r["taken"] for r in got)
     assert mixing.mix_sources(frame(spark, [])).collect() == []
+
+
+CLASHING = ["id", "tag", "copies", "own_id", "own_tag", "own_sha", "sha", "row", "rid", "bytes", "kept_id", "_own", "_t", "_tag", "_copies", "_keep_id", "_kept_id", "_i", "_id", "col", "key", "cls", "n"]
+
+
+@pytest.mark.parametrize("stage", [exact.keep_one, neardup.keep_first, mixing.repeat_rows])
+def test_columns_of_any_name_pass_through(spark, stage):
+    rows = [(i, f"text number {i % 4} is here", f"s{i % 2}", *(f"{c}{i}" for c in CLASHING)) for i in range(8)] + [(1, "text number 1 is here", None, *CLASHING), (None, None, None, *CLASHING)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    out = stage(df)
+    got = out.collect()
+    assert out.columns == df.columns and len(got) > 3 and {tuple(r) for r in got} <= set(rows)
+
+
+def test_copies_of_one_text_flush_memtables(spark):
+    """A memtable counts what copies add: many rows of one text are several runs, none with all of them."""
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text")).coalesce(1)
+    flush = exact._memtables(100_000, 32, 16, False)
+    base = df.select("doc_id", F.col("text").cast("binary").alias("text"))
+    runs = base.mapInArrow(flush, exact.RUNS).filter("segment is null").selectExpr("run", "n").collect()
+    assert len(runs) > 5 and sum(r["n"] for r in runs) == 30_000 and max(r["n"] for r in runs) < 5000
+    got = exact.exact_groups(df, memtable_bytes=100_000).groupBy("keep_id", "group_size").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(0, 30_000, 1, 30_000)]
+
+
+def test_null_ids_of_many_texts(spark):
+    rows = [(None, f"t{i % 40}") for i in range(200)] + [(i, f"t{i}") for i in range(10)]
+    got = exact.exact_groups(frame(spark, rows), memtable_bytes=3000).filter("kept").collect()
+    assert len(got) == 40 and {r["doc_id"] for r in got} == {None, *range(10)}
+
+
+def test_long_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(400, 600)] + [(2000, 2000)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 400 for i in [*range(400, 600), 1000]}
+    assert components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() == []
