@@ -3,8 +3,10 @@
 A window is `k` consecutive words of one document. Every window has a minimiser: the smallest hash
 among its m-word grams. Consecutive windows with one minimiser form a super-k-mer; it travels as one
 packed string to the bucket of its minimiser, and equal windows meet there. Sorting a bucket's
-windows finds, for every distinct word sequence, the smallest doc_id in which it starts; windows of
-documents with larger ids are repeats, and each word that such a window covers is removed.
+windows by hash finds, for every distinct word sequence, the smallest doc_id in which it starts; windows
+of documents with larger ids are repeats, and each word that such a window covers is removed. Hashes only
+bring equals together: the words of windows (and of super-k-mers) of one hash are compared byte for
+byte, and where they differ a bucket numbers its words and sorts by these numbers instead.
 
 Skew: equal super-k-mers of one unit of input (8 MB) are collapsed before the shuffle; only the one
 of the smallest id travels, the others are known repeats already. Minimisers that hold 1/(4 * parts) of all super-k-mers (with
@@ -12,8 +14,9 @@ of the smallest id travels, the others are known repeats already. Minimisers tha
 all of these, and may add such as hold half of that, 32768 at most altogether.
 
 Defined cases: null or empty text has no words; a null doc_id counts as larger than all others and
-equal to no smaller one; rows that share a doc_id never make each other's words repeats; an empty
-table gives an empty result; other columns are ignored.
+equal to no smaller one; rows that share a doc_id never make each other's words repeats; a very long
+text is a unit of its own, and its super-k-mers are dealt like others; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,31 @@ PART = 8 << 20  # bytes of text per bucket partition: what is sorted at a time
 TASKS = 1 << 16  # at most so many tasks share the bucket partitions
 
 
+LONG = 64  # bytes; longer words are compared one by one
+HELD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the bytes of a word that are left of eight
+
+
+def same_words(buf: bytes, s: np.ndarray, e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the words buf[s:e] of numbers i and j are equal, byte for byte."""
+    raw = buf + bytes(8)
+    eight = np.ndarray(len(buf) + 1, "<u8", raw, 0, (1,))  # the eight bytes from every place on
+    out = np.empty(len(i), bool)
+    for lo in range(0, len(i), 1 << 18):
+        a, b = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+        sa, sb, n = s[a], s[b], e[a] - s[a]
+        ok = n == e[b] - sb
+        at = np.flatnonzero(ok)
+        for c in range(0, LONG, 8):
+            at = at[n[at] > c]
+            if not len(at):
+                break
+            ok[at] &= ((eight[sa[at] + c] ^ eight[sb[at] + c]) & HELD[np.minimum(n[at] - c, 8)]) == 0
+        for x in at[n[at] > LONG].tolist():
+            ok[x] = buf[sa[x] : sa[x] + n[x]] == buf[sb[x] : sb[x] + n[x]]
+        out[lo : lo + (1 << 18)] = ok
+    return out
+
+
 def _runs(texts: list[bytes], k: int, m: int, hot: np.ndarray):
     """The super-k-mers of some texts, as arrays; None if there is none."""
     buf, at = join_texts(texts)
@@ -63,7 +91,7 @@ def _runs(texts: list[bytes], k: int, m: int, hot: np.ndarray):
     base = np.searchsorted(doc, np.arange(len(texts)))  # first word of each text
     return {
         "buf": buf, "s": s[i0], "e": e[last - 1], "doc": doc[i0], "start": i0 - base[doc[i0]], "words": last - i0,
-        "key": key, "low": low[i0], "bucket": np.where(spread[i0], key, mix(low[i0])),
+        "key": key, "low": low[i0], "bucket": np.where(spread[i0], key, mix(low[i0])), "first": i0, "from": s, "to": e,
     }
 
 
@@ -84,7 +112,27 @@ def _census(k: int, m: int, keep: int):
 HEAD = "<II"  # known repeats, super-k-mers
 
 
-def _pack(parts: int, deal: list[int], k: int, m: int, hot: np.ndarray):
+def _collapsed(r: dict, ids: np.ndarray) -> np.ndarray:
+    """Which super-k-mers of a unit travel: of equal ones those of the smallest id; all of those that only share a hash."""
+    order = np.lexsort((ids, r["key"]))
+    key, oid = r["key"][order], ids[order]
+    new = np.append(True, key[1:] != key[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    drop = np.flatnonzero(oid != oid[head])
+    goes = np.ones(len(order), bool)
+    if not len(drop):
+        return goes
+    x, y = order[drop], order[head[drop]]
+    n = r["words"][x]
+    equal = n == r["words"][y]
+    x, y, n = x[equal], y[equal], n[equal]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    same = same_words(r["buf"], r["from"], r["to"], np.repeat(r["first"][x], n) + step, np.repeat(r["first"][y], n) + step)
+    goes[x[np.logical_and.reduceat(same, np.cumsum(n) - n)] if len(x) else x] = False
+    return goes
+
+
+def _pack(parts: int, tasks: int, k: int, m: int, hot: np.ndarray):
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
         for b in gathered(it, "text", UNIT):
@@ -93,13 +141,7 @@ def _pack(parts: int, deal: list[int], k: int, m: int, hot: np.ndarray):
                 continue
             ids = np.asarray(b.column("rid"), dtype=np.int64)[r["doc"]]
             tags = np.asarray(b.column("tag"), dtype=np.int64)[r["doc"]]
-            # equal super-k-mers of this unit: all but those of the smallest id are repeats
-            order = np.lexsort((ids, r["key"]))
-            key, oid = r["key"][order], ids[order]
-            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            least = np.repeat(oid[head], np.diff(np.append(head, len(key))))
-            goes = np.empty(len(order), bool)
-            goes[order] = oid == least
+            goes = _collapsed(r, ids)  # what stays behind is a repeat
             part = (r["bucket"] % np.uint64(parts)).astype(np.int64)
             part = np.where(goes, part, (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64))
             by = np.lexsort((r["start"], ids, goes, part))
@@ -113,7 +155,7 @@ def _pack(parts: int, deal: list[int], k: int, m: int, hot: np.ndarray):
                 text = b"\n".join([buf[i:j] for i, j in zip(s[g].tolist(), e[g].tolist())])
                 out_part.append(int(part[x[0]]))
                 out_blob.append(z.compress(struct.pack(HEAD, len(x) - len(g), len(g)) + meta.astype("<i8").tobytes() + text))
-            yield pa.RecordBatch.from_arrays([pa.array([deal[p % len(deal)] for p in out_part], pa.int32()), pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["task", "part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([p % tasks for p in out_part], pa.int32()), pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["task", "part", "blob"])
 
     return run
 
@@ -131,13 +173,38 @@ def _repeats(x: np.ndarray, order: np.ndarray) -> np.ndarray:
     return x[1:] == x[:-1]
 
 
+def _differ(buf: bytes, s: np.ndarray, e: np.ndarray, first: np.ndarray, order: np.ndarray, same: np.ndarray, k: int) -> bool:
+    """Whether any window has other words than the one before it that has its hash; first is each window's first word."""
+    before = np.full(len(order), -1, np.int32)
+    before[order[1:][same]] = order[:-1][same]
+    x = np.flatnonzero(before >= 0)
+    if not len(x):
+        return False
+    a, b = first[x], first[before[x]]
+    on = np.append(False, (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1))  # the next windows of both: only their last words are new
+    if not same_words(buf, s, e, a + (k - 1), b + (k - 1)).all():
+        return True
+    a, b = a[~on], b[~on]
+    return not all(same_words(buf, s, e, a + j, b + j).all() for j in range(k - 1))
+
+
+def _by_words(buf: bytes, s: np.ndarray, e: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows by the words themselves, and which equal the one before: for hashes that collide."""
+    number: dict = {}
+    words = np.array([number.setdefault(buf[i:j], len(number)) for i, j in zip(s.tolist(), e.tolist())], np.int32)
+    order, same = np.lexsort([words[first + j] for j in range(k)]), np.ones(len(first) - 1, bool)
+    for j in range(k):
+        same &= _repeats(words[first + j], order)
+    return order, same
+
+
 def _count(k: int):
     """Sorts the windows of one bucket partition and gives the word ranges that are repeats."""
 
     def bucket(blobs):
         z = zstandard.ZstdDecompressor()
-        # a window is two hashes and, in 32 bits each, its super-k-mer and its place in the document
-        hs, hs2, which, pos, ids, tags, base = [], [], [], [], [], [], 0
+        # a window is a hash and, in 32 bits each, its super-k-mer, its place in the document and its first word here
+        hs, which, pos, words, ids, tags, base, texts, ss, es, at, seen = [], [], [], [], [], [], 0, [], [], [], 0, 0
         for blob in blobs:
             raw = z.decompress(blob)
             known, n = struct.unpack_from(HEAD, raw)
@@ -147,16 +214,21 @@ def _count(k: int):
             if not n:
                 continue
             meta = meta[:, known:].copy()
-            _, _, h = words_of(memoryview(raw)[8 + 32 * (known + n) :])
+            texts.append(raw[8 + 32 * (known + n) :] + b"\n")
             del raw
+            s, e, h = words_of(texts[-1])
             unit = np.repeat(np.arange(n, dtype=np.int32), meta[3])
             first = np.cumsum(meta[3]) - meta[3]
             w = np.flatnonzero(unit[: len(h) - k + 1] == unit[k - 1 :])
             u = unit[w]
             hs.append(grams(h, k, 12)[w])
-            hs2.append(grams(h, k, 13)[w])
             which.append(u + np.int32(base))
             pos.append((meta[2][u] + w - first[u]).astype(np.int32))
+            words.append((w + seen).astype(np.int32))
+            seen += len(s)
+            ss.append((s + at).astype(np.int32))
+            es.append((e + at).astype(np.int32))
+            at += len(texts[-1])
             ids.append(meta[0])
             tags.append(meta[1])
             base += n
@@ -164,23 +236,23 @@ def _count(k: int):
             return
         h = np.concatenate(hs)
         del hs
-        h2 = np.concatenate(hs2)
-        del hs2
-        which, at, ids, tags = np.concatenate(which), np.concatenate(pos), np.concatenate(ids), np.concatenate(tags)
-        del pos
+        text = b"".join(texts)
+        del texts
+        which, place, words, ids, tags, s, e = (np.concatenate(x) for x in (which, pos, words, ids, tags, ss, es))
+        del pos, ss, es
         order = np.argsort(h, kind="stable")
-        same, same2 = _repeats(h, order), _repeats(h2, order)
-        if (same & ~same2).any():
-            order = np.lexsort((h2, h))
-            same, same2 = _repeats(h, order), _repeats(h2, order)
-        head = np.flatnonzero(np.append(True, ~(same & same2)))
-        del h, h2, same, same2
+        same = _repeats(h, order)
+        del h
+        if _differ(text, s, e, words, order, same, k):
+            order, same = _by_words(text, s, e, words, k)
+        head = np.flatnonzero(np.append(True, ~same))
+        del same, words, s, e, text
         oid = ids[which[order]]
         least = np.repeat(np.minimum.reduceat(oid, head), np.diff(np.append(head, len(oid))))
         x = order[oid > least]
         if not len(x):
             return
-        i, t, a = ids[which[x]], tags[which[x]], at[x]
+        i, t, a = ids[which[x]], tags[which[x]], place[x]
         by = np.lexsort((a, t, i))
         i, t, a = i[by], t[by], a[by]
         new = np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1] + 1))
@@ -243,11 +315,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3) -> DataFrame:
     # the counts sum to n at most, so no more than keep, 32768, minimisers can reach the threshold
     hot = np.array(sorted(x["low"] for x in census.filter(F.col("low").isNotNull() & (F.col("n") >= least)).collect()), np.int64).view(np.uint64)
     n = max(min(parts, TASKS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # bucket partitions are dealt evenly: to each task goes a number that Spark's hash sends there
-    deal = spark.range(24 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("task")).agg(F.min("id").alias("id")).orderBy("task").limit(n).collect()
-    deal = [x["id"] for x in deal]
-    packed = base.select("rid", "tag", "text").mapInArrow(_pack(parts, deal, k, m, hot), "task int, part int, blob binary")
-    spans = packed.repartition(n, "task").sortWithinPartitions("part").drop("task").mapInArrow(_count(k), "rid long, tag long, span long")
+    packed = base.select("rid", "tag", "text").mapInArrow(_pack(parts, n, k, m, hot), "task int, part int, blob binary")
+    spans = packed.repartitionById(n, F.col("task")).sortWithinPartitions("part").drop("task").mapInArrow(_count(k), "rid long, tag long, span long")
     spans = spans.groupBy("rid", "tag").agg(F.collect_list("span").alias("spans"))
     both = base.join(spans, ["rid", "tag"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -465,3 +465,36 @@ def test_long_paths_and_hubs(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 400 for i in [*range(400, 600), 1000]}
     assert components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() == []
+
+
+@given(st.lists(st.binary(min_size=1, max_size=90).map(lambda b: b.translate(bytes(65 + x % 3 for x in range(256)))), min_size=1, max_size=12))
+@settings(max_examples=100, deadline=None)
+def test_words_are_compared_byte_for_byte(words):
+    buf = b" ".join(words)
+    e = np.cumsum([len(w) + 1 for w in words]) - 1
+    s = e - np.array([len(w) for w in words])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    assert substring.same_words(buf, s, e, i, j).tolist() == [words[a] == words[b] for a, b in zip(i, j)]
+
+
+@pytest.mark.parametrize("of", ["words", "windows"])
+def test_hashes_that_collide_remove_nothing(of, monkeypatch):
+    """Words (or windows) with one hash for all: what differs stays, what repeats goes."""
+    if of == "words":
+        plain = substring.words_of
+        monkeypatch.setattr(substring, "words_of", lambda buf: (*(x := plain(buf))[:2], np.zeros(len(x[2]), np.uint64)))
+    else:
+        monkeypatch.setattr(substring, "grams", lambda h, k, seed: np.zeros(max(len(h) - k + 1, 0), np.uint64))
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(i, text_of(rng, rng.randint(1, 40))) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(8)] + [(200 + i, "x y " + rows[i][1] + " z") for i in range(5)]
+    k = 4
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t.encode() for _, t in rows])], ["rid", "tag", "text"])
+    packed = [b.select(["part", "blob"]) for half in (batch.slice(0, 20), batch.slice(20)) for b in substring._pack(1, 1, k, 2, np.empty(0, np.uint64))(iter([half]))]
+    spans = {}
+    for b in substring._count(k)(iter(packed)):
+        for i, span in zip(b.column("rid").to_pylist(), b.column("span").to_pylist()):
+            spans.setdefault(i, set()).update(range(span >> 32, (span >> 32) + (span & 0xFFFFFFFF)))
+    assert [(i, len(t.split()), len(spans.get(i, ()))) for i, t in rows] == [x[:3] for x in substring.brute_force(rows, k)]
