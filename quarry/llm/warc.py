@@ -14,8 +14,9 @@ reading of just those pieces.
 
 Defined cases: null html is an empty payload; a null page_id counts as larger than all others and is
 written as an empty field; rows that repeat the smallest page_id are all response; payloads under
-`least` bytes are never revisited; line breaks in url or page_id are dropped from headers; an empty
-table gives an empty result; other columns are ignored.
+`least` bytes are never revisited; line breaks in url or page_id are dropped from headers; a very long
+payload may run over many splits; an empty table gives an empty result; other columns are ignored.
+Archives compressed by gzip, member after member, are read where their names end in .gz, each by one task.
 """
 
 from __future__ import annotations
@@ -140,9 +141,10 @@ def _candidates(it):
             if not first and (h := header(value)):
                 n, fields = h
                 length = int(fields["content-length"])
-                row |= {"next": rel + len(MAGIC) + n + length + 4, "kind": fields.get("warc-type"), "id": fields.get("warc-record-id"), "digest": fields.get("warc-payload-digest"), "refers": fields.get("warc-refers-to"), "bytes": length}
+                row |= {"next": rel + len(MAGIC) + n + length + 4, "kind": fields.get("warc-type"), "id": fields.get("warc-record-id"), "digest": fields.get("warc-payload-digest"), "refers": fields.get("warc-refers-to")}
                 if len(value) == n + length + 4 and value[-4:] == b"\r\n\r\n":
-                    row["sha1"] = sha1_of(value[n : n + length])
+                    payload = value[n:-4]
+                    row |= {"bytes": len(payload), "sha1": sha1_of(payload)}
             rows.append(row)
             rel += row["size"]
     if rows:
@@ -188,12 +190,13 @@ def _joined(pdf):
     raw = MAGIC.join(bytes(x) for x in pdf["value"])
     n, fields = header(raw)
     length = int(fields["content-length"])
-    whole = raw[n + length : n + length + 4] == b"\r\n\r\n"
-    return pd.DataFrame({"file": [pdf["file"].iloc[0]], "offset": [int(pdf["record"].iloc[0])], "sha2": [sha1_of(raw[n : n + length]) if whole else None]})
+    payload = raw[n : n + length] if raw[n + length : n + length + 4] == b"\r\n\r\n" else None
+    size, sha1 = (len(payload), sha1_of(payload)) if payload is not None else (None, None)
+    return pd.DataFrame({"file": [pdf["file"].iloc[0]], "offset": [int(pdf["record"].iloc[0])], "bytes2": pd.array([size], "Int64"), "sha2": [sha1]})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, kind, id, digest, refers, bytes (of the record's payload), sha1 (of it, recomputed; null if torn) of every record on a chain."""
+    """file, offset, kind, id, digest (as its header has it), refers, bytes and sha1 (of the payload as read; null if torn) of every record on a chain."""
     raw = _pieces(spark, path).mapInArrow(_candidates, "file string, block long, rel long, next long, exit long, size long, kind string, id string, digest string, refers string, bytes long, sha1 string")
     raw = materialise(raw, "candidates")
     base = raw.groupBy("file", "block").agg(F.sum("size").alias("s"))
@@ -209,8 +212,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     torn = records.filter("sha1 is null").select("file", F.col("offset").alias("record"))
     want = cand.withColumn("record", own).join(torn, ["file", "record"], "left_semi").select("file", "block", "rel", "offset", "record")
     pieces = _pieces(spark, path).mapInArrow(_located, "file string, block long, rel long, value binary").join(want, ["file", "block", "rel"])
-    whole = pieces.groupBy("file", "record").applyInPandas(_joined, "file string, offset long, sha2 string")
-    return records.join(whole, ["file", "offset"], "left").withColumn("sha1", F.coalesce("sha1", "sha2")).drop("sha2")
+    whole = pieces.groupBy("file", "record").applyInPandas(_joined, "file string, offset long, bytes2 long, sha2 string")
+    records = records.join(whole, ["file", "offset"], "left")
+    return records.withColumn("sha1", F.coalesce("sha1", "sha2")).withColumn("bytes", F.coalesce("bytes", "bytes2")).drop("sha2", "bytes2")
 
 
 def _located(it):
@@ -228,14 +232,22 @@ def _located(it):
         yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(out, pa.int64()), b.column("value")], ["file", "block", "rel", "value"])
 
 
-def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
-    """Writes pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, intact."""
-    spark = pages.sparkSession
-    path = path or scratch_path(spark, "warc")
-    write(pages, path, least)
+def pages_of(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, intact of every record of archives.
+
+    Size and digest are those of the payload as read (a revisit's are its response's), null where it is torn
+    or, for a revisit, where no response answers to its reference; intact tells if the digest is the header's.
+    """
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
     records = materialise(read(spark, path).select(number("id").alias("page_id"), "kind", F.substring("digest", 6, 32).alias("digest"), F.when(F.col("refers").isNotNull(), number("refers")).alias("to"), "bytes", "sha1"), "records")
     first = records.filter("kind = 'response'").groupBy(F.col("page_id").alias("to"), F.col("digest")).agg(F.first("bytes").alias("full"), F.first("sha1").alias("of"))
     revisits = records.filter("kind = 'revisit'").join(first, ["to", "digest"], "left")
-    cols = lambda size, sha, to: ["page_id", F.col(size).alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), to.alias("refers_to"), (F.col(sha) == F.col("digest")).alias("intact")]
+    cols = lambda size, sha, to: ["page_id", F.col(size).alias("payload_bytes"), F.col(sha).alias("payload_digest"), F.col("kind").alias("record_type"), to.alias("refers_to"), F.coalesce(F.col(sha) == F.col("digest"), F.lit(False)).alias("intact")]
     return records.filter("kind = 'response'").select(*cols("bytes", "sha1", F.lit(None).cast("long"))).unionByName(revisits.select(*cols("full", "of", F.col("to"))))
+
+
+def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
+    """Writes pages and reads the archives back, as `pages_of` gives them."""
+    path = path or scratch_path(pages.sparkSession, "warc")
+    write(pages, path, least)
+    return pages_of(pages.sparkSession, path)

@@ -498,3 +498,31 @@ def test_hashes_that_collide_remove_nothing(of, monkeypatch):
         for i, span in zip(b.column("rid").to_pylist(), b.column("span").to_pylist()):
             spans.setdefault(i, set()).update(range(span >> 32, (span >> 32) + (span & 0xFFFFFFFF)))
     assert [(i, len(t.split()), len(spans.get(i, ()))) for i, t in rows] == [x[:3] for x in substring.brute_force(rows, k)]
+
+
+def test_damaged_payloads_show(spark, tmp_path):
+    rows = [(i, "u", f"<p>page {i} of many</p>") for i in range(6)] + [(10, "u", "<p>page 2 of many</p>"), (11, "u", "é" * 40 + FAKE)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write(df, path)
+    before = {r["page_id"]: r for r in warc.pages_of(spark, path).collect()}
+    assert all(r["intact"] for r in before.values()) and before[10]["refers_to"] == 2
+    for f in (tmp_path / "w").glob(".*.crc"):
+        f.unlink()
+    file = next((tmp_path / "w").glob("part-*"))
+    raw = file.read_bytes()
+    file.write_bytes(raw.replace(b"page 2 of", b"page X of").replace("é".encode() * 40, "è".encode() * 40))
+    after = {r["page_id"]: r for r in warc.pages_of(spark, path).collect()}
+    sha = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    assert {i for i, r in after.items() if r != before[i]} == {2, 10, 11} == {i for i, r in after.items() if not r["intact"]}
+    assert after[10]["payload_digest"] == after[2]["payload_digest"] == sha("<p>page X of many</p>") and after[11]["payload_digest"] == sha("è" * 40 + FAKE)
+
+
+def test_gzip_archives_are_read(spark, tmp_path):
+    import gzip
+
+    one = lambda i, x: warc.record(i, "u", warc.sha1_of(x), x) + b"\r\n\r\n"
+    payloads = {1: b"abc", 2: FAKE.encode(), 3: b""}
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(one(i, x)) for i, x in payloads.items()))
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["intact"]) for r in warc.pages_of(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), warc.sha1_of(x), True) for i, x in payloads.items()}
