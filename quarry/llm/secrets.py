@@ -11,7 +11,9 @@ Everything is within one document, so there is no shuffle; byte searches that ca
 whether a pattern is run on a text at all.
 
 Defined cases: null text is empty and has no spans; null ids and repeated rows give a row each;
-positions are code points of the whole text, ends exclusive; an empty table gives an empty result.
+positions are code points of the whole text, ends exclusive; very long texts, runs and scopes cost no
+more than in proportion (look-ups are logarithmic); an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,29 +72,40 @@ def secretive(s: str) -> bool:
 
 
 class Intervals:
-    """Intervals of one part, sorted; asked which lie within reach of another, in the same scope."""
+    """The intervals of one part by scope, sorted by start, with the two that reach farthest among every first few:
+    one look-up tells if any lies within reach of another interval, however long single ones are."""
 
     def __init__(self, spans: list[tuple[int, int, int]]):
-        self.spans = sorted(spans)  # scope, start, end
-        self.longest = max((e - s for _, s, e in self.spans), default=0)
-
-    def near(self, scope: int, start: int, end: int, reach: int) -> bool:
-        lo = bisect_left(self.spans, (scope, start - reach - self.longest, 0))
-        hi = bisect_right(self.spans, (scope, end + reach, math.inf))
-        return any(e >= start - reach and (s, e) != (start, end) for _, s, e in self.spans[lo:hi])
-
-
-def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH, raw: bytes | None = None) -> list[tuple[str, int, int]]:
+        self.starts: dict[int, list[int]] = {}
+        self.farthest: dict[int, list[tuple]] = {}
+        for scope, s, e in sorted(set(spans)):
+            top = self.farthest.setdefault(scope, [((-1, -1), (-1, -1))])
+            top.append(tuple(sorted((*top[-1], (e, s)), reverse=True)[:2]))
+            self.starts.setdefault(scope, []).append(s)
+
+    def __len__(self):
+        return len(self.starts)
+
+    def near(self, scope: int, start: int, end: int, reach: int | None) -> bool:
+        """Whether the scope has an interval, other than (start, end) itself, at most reach away (None: anywhere)."""
+        if scope not in self.starts:
+            return False
+        n = bisect_right(self.starts[scope], math.inf if reach is None else end + reach)
+        one, two = self.farthest[scope][n]
+        e, s = two if one == (end, start) else one
+        return s >= 0 and (reach is None or e >= start - reach)
+
+
+def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int | None = REACH, raw: bytes | None = None) -> list[tuple[str, int, int]]:
     """Weak candidates of which a complementary part is near, in the same scope."""
     raw = text.encode("utf-8", "surrogatepass") if raw is None else raw
     if not any(k in ("assign", "access") for k, _, _ in base) and b"x" * 20 not in raw.translate(IS_KEY):
         return []  # no secret and no access identifier: nothing can be complete
     cover = sorted((s, e) for _, s, e in base)
-    longest = max((e - s for s, e in cover), default=0)
+    ends = [0, *accumulate((e for _, e in cover), max)]  # how far the first few spans of the base reach
 
     def free(s, e):
-        lo = bisect_left(cover, (s - longest, 0))
-        return not any(b > s for a, b in cover[lo : bisect_left(cover, (e, 0))])
+        return ends[bisect_left(cover, (e, 0))] <= s
 
     breaks = [m.start() for m in BLANK.finditer(text)]
     scope = lambda s, e: (bisect_left(breaks, s), s, e)
@@ -102,9 +116,9 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH
     every_id, every_secret = Intervals(ids + strong_ids), Intervals(secrets + strong_secrets)
     out = [("linked_id", s, e) for k, s, e in ids if every_secret.near(k, s, e, reach)]
     out += [("linked_secret", s, e) for k, s, e in secrets if every_id.near(k, s, e, reach)]
-    if every_id.spans and every_secret.spans:
-        ends = [scope(*m.span()) for m in ENDPOINT.finditer(text) if free(*m.span())]
-        out += [("linked_endpoint", s, e) for k, s, e in ends if every_id.near(k, s, e, reach) and every_secret.near(k, s, e, reach)]
+    if every_id and every_secret:
+        points = [scope(*m.span()) for m in ENDPOINT.finditer(text) if free(*m.span())]
+        out += [("linked_endpoint", s, e) for k, s, e in points if every_id.near(k, s, e, reach) and every_secret.near(k, s, e, reach)]
     return out
 
 
@@ -115,8 +129,11 @@ def in_order(spans):
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, spans (kind, start, end, in order of start, then kind) of every row of docs (doc_id, text)."""
+def scan(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """doc_id, spans (kind, start, end, in order of start, then kind) of every row of docs (doc_id, text).
+
+    Parts are linked at most `reach` code points apart within a scope; with None anywhere in it.
+    """
 
     def run(it):
         for b in units(it, "text", 4 << 20):
