@@ -3,8 +3,10 @@
 A text is written as in the model (a leading space mark, spaces as marks), and its ids are those of
 the segmentation whose piece scores have the largest sum, ties going to the longer last piece; a
 character in no piece costs 10 less than the lowest score and becomes its bytes' pieces: the best path of
-the sentencepiece library's lattice for a unigram model of the same pieces, summed in 64 bits. (A model file trained by
-merges is taken as a table of scored pieces; its merge order is another segmentation, see README.)
+the sentencepiece library's lattice for a unigram model of the same pieces, summed in 64 bits. That is the
+contract: a model file trained by merges is taken as a table of scored pieces too, and its merge order is
+another segmentation (see README). Of a model's normaliser settings the leading mark is followed;
+settings that change the text (character maps, dropping of spaces) are refused.
 
 With b[e] the best score up to character e, b[e] = max over lengths l of b[e - l] + score(piece of
 those l characters): linear in max-plus algebra, of order L (the longest piece). Giant documents are
@@ -69,8 +71,10 @@ class Pieces:
 
     def __init__(self, proto: bytes):
         self.score, self.id, self.byte, self.raw = {}, {}, {}, []
-        lowest = 0.0
+        lowest, settings = 0.0, {}
         for number, value in _fields(proto):
+            if number == 3:
+                settings |= dict(_fields(value))
             if number != 1:
                 continue
             d = dict(_fields(value))
@@ -84,6 +88,10 @@ class Pieces:
                 self.byte[int(text[3:5], 16)] = i
                 raw = bytes([int(text[3:5], 16)])
             self.raw.append(raw)
+        # fixed values: fields of the normaliser's settings, all flags being set where they are left out
+        if settings.get(2) or settings.get(4, 1) or not settings.get(5, 1):
+            raise ValueError("models that map characters, drop spaces or leave them unmarked are not supported")
+        self.prefix = MARK if settings.get(3, 1) else ""
         self.unknown = lowest - 10
         self.longest = max(map(len, self.score))
         inner = [t for t in self.score if len(t) > 1]
@@ -267,11 +275,11 @@ class Pieces:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        return self.learn([self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
+        return self.learn([self.words(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts])
 
     def decode(self, ids) -> bytes:
         raw = b"".join([self.raw[i] for i in ids])
-        return raw[1:] if raw[:1] == b" " else raw
+        return raw[1:] if self.prefix and raw[:1] == b" " else raw
 
     # --- chunks ------------------------------------------------------------------------------
 
@@ -371,11 +379,11 @@ def _encode_small(proto: bytes, back: bool):
     return run
 
 
-def _cut_up(chunk: int, context: int):
+def _cut_up(chunk: int, context: int, prefix: str):
     def run(it):
         for b in it:
             for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
-                s = MARK + text.replace(" ", MARK)
+                s = prefix + text.replace(" ", MARK)
                 for c, lo in enumerate(range(0, len(s), chunk)):
                     yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([c]), pa.array([s[max(0, lo - context) : lo]]), pa.array([s[lo : lo + chunk]])], ["row", "c", "left", "text"])
 
@@ -446,11 +454,11 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 1 << 16, back: bool
     if not giant.limit(1).count():
         return small
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = giant.select("row", "text").mapInArrow(_cut_up(chunk, p.longest), "row long, c long, left string, text string").repartition(n, "row", "c")
+    chunks = giant.select("row", "text").mapInArrow(_cut_up(chunk, p.longest, p.prefix), "row long, c long, left string, text string").repartition(n, "row", "c")
     chunks = materialise(chunks, "chunks")
     moves = chunks.mapInArrow(_matrices(proto), "row long, c long, m binary")
-    vectors = moves.groupBy("row").applyInPandas(_incoming(p.longest), "row long, c long, v binary")
-    traced = chunks.join(vectors, ["row", "c"]).mapInArrow(_traced(proto), "row long, c long, common binary, tails array<binary>, back array<int>")
+    entering = moves.groupBy("row").applyInPandas(_incoming(p.longest), "row long, c long, v binary")
+    traced = chunks.join(entering, ["row", "c"]).mapInArrow(_traced(proto), "row long, c long, common binary, tails array<binary>, back array<int>")
     ids = traced.groupBy("row").applyInPandas(_followed, "row long, ids array<int>")
     long = giant.select("row", "doc_id").join(ids, "row").select("doc_id", "ids")
     return small.unionByName(_decoded(long, proto, keep=True) if back else long)

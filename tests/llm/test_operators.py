@@ -221,6 +221,15 @@ def test_sentencepiece_against_the_library(model):
     assert pieces._decoded is not None and p.decode(plain_ids(p, "a  b é 漢")) == "a  b é 漢".encode()
 
 
+def test_sentencepiece_settings(model):
+    setting = lambda v: model + bytes([3 << 3 | 2, len(v)]) + v
+    p = pieces.Pieces(setting(b"\x18\x00"))
+    assert p.decode(np.frombuffer(p.encode(" a b"), "<i4").tolist()) == b" a b" and p.encode("the") != pieces.Pieces(model).encode("the")
+    for bad in (b"\x12\x01x", b"\x20\x01", b"\x28\x00"):
+        with pytest.raises(ValueError):
+            pieces.Pieces(setting(bad))
+
+
 def test_scan_is_associative():
     m = np.random.default_rng(0).integers(-50, 0, (37, 3, 3)).astype(float)
     want = list(itertools.accumulate(m, pieces.product))
