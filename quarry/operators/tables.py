@@ -1,27 +1,34 @@
 """Tables of the catalog and the writes on them.
 
-A table is an immutable version: a small one holds its rows on the driver (at most LOCAL of them, a
-fixed bound), a larger one is Parquet in the shared folder. Every write declares the next version as a
-DataFrame over the present one, writes it, validates it, and only then publishes it. `_rowid` keeps
-insertion order.
+A table is an immutable version. A small one holds its rows on the driver (at most LOCAL of them, a
+fixed bound). A larger one is a list of Parquet folders in the shared folder, each with an edition
+number, and a list of marks: folders whose row ids are dead in what is older. A write evaluates its
+change once, into one new folder, validates that folder against the present version and publishes a
+version with the folder added: INSERT adds rows, DELETE adds marks, UPDATE and upserts add the new
+rows under their old ids, which are marks too. What is there already is not written again, until a
+quarter of the rows is dead or there are many folders. `_rowid` keeps insertion order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import errors as E
 from quarry.plans.analysis import Scope
 from quarry.plans.compile import ROWID, Builder
-from quarry.plans.syntax import Conflict
-from quarry.sources.scratch import scratch_path
+from quarry.plans.syntax import Col, Conflict
+from quarry.sources.scratch import drop_scratch, materialise, scratch_path
 from quarry.types import Column, coerce, struct_of
 
 LOCAL = 20_000
 MAX_ROWS = 10_000_000
+FOLDERS = 64
+EDITION = "_edition"
+RESERVED = {ROWID, EDITION}
 
 
 @dataclass(frozen=True)
@@ -33,62 +40,160 @@ class Table:
     count: int = 0
     next_id: int = 0
     read_only: bool = False
+    parts: tuple[str, ...] = ()
+    marks: tuple[str, ...] = ()
+    edition: int = 0
+    dead: int = 0
+    looked_up: tuple[str, ...] = ()  # columns whose folders get Bloom filters: unique and indexed ones
 
     def find(self, name: str) -> Column:
-        return Scope(list(self.columns)).find(_col(name))
+        return Scope(list(self.columns)).find(Col((name,)))
 
     def data(self, spark: SparkSession) -> DataFrame:
         return self.frame if self.frame is not None else spark.createDataFrame(list(self.rows), struct_of(list(self.columns)))
 
 
-def _col(name: str):
-    from quarry.plans.syntax import Col
+def key(value):
+    return tuple(value) if isinstance(value, list) else value
 
-    return Col((name,))
 
+def named(column: Column | str):
+    return F.col(f"`{column if isinstance(column, str) else column.name}`")
+
+
+# --- folders ---------------------------------------------------------------------------------------
+
+
+def read_parts(columns, parts, marks, spark: SparkSession) -> DataFrame:
+    """The living rows of some folders: an id counts in its newest edition only, and not where a later mark has it."""
+    frame = spark.read.schema(struct_of(list(columns)).add(EDITION, "long")).parquet(*parts)
+    if marks:
+        gone = spark.read.schema(f"{ROWID} long, {EDITION} long").parquet(*marks).select(F.col(ROWID).alias("_gone"), F.col(EDITION).alias("_since"))
+        frame = frame.join(gone, (F.col(ROWID) == F.col("_gone")) & (F.coalesce(EDITION, F.lit(0)) < F.col("_since")), "left_anti")
+    return frame.drop(EDITION)
+
+
+def write_part(table: Table, df: DataFrame, edition: int) -> str:
+    path = scratch_path(df.sparkSession, f"table-{table.name}")
+    out = df.withColumn(EDITION, F.lit(edition).cast("long")).write
+    for name in {*table.looked_up, *(c.name for c in table.columns if c.unique)} & set(df.columns):
+        if table.find(name).type.kind not in ("VECTOR", "BOOLEAN"):
+            out = out.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    out.parquet(path)
+    return path
 
-def key(value):
-    return tuple(value) if isinstance(value, list) else value
 
+def compacted(table: Table, spark: SparkSession) -> Table:
+    """The same rows in one folder."""
+    part = write_part(table, table.data(spark), table.edition + 1)
+    return replace(table, rows=None, parts=(part,), marks=(), edition=table.edition + 1, dead=0, frame=read_parts(table.columns, (part,), (), spark))
 
-def validate(table: Table, spark: SparkSession) -> Table:
-    """NOT NULL and uniqueness over a whole version; nulls are distinct."""
-    if table.count > MAX_ROWS and not table.read_only:
-        raise E.TableRowLimit(table.count, MAX_ROWS)
-    for i, c in enumerate(table.columns):
-        if not c.nullable and (any(r[i] is None for r in table.rows) if table.frame is None else table.frame.filter(F.col(f"`{c.name}`").isNull()).limit(1).count()):
-            raise E.NullViolation(c.name)
-    for i, c in enumerate(table.columns):
-        if c.unique:
-            if table.frame is None:
-                keys = [key(r[i]) for r in table.rows if r[i] is not None]
+
+@dataclass
+class Change:
+    """Rows that have been evaluated once: a list where both sides are small, else a folder."""
+
+    table: Table
+    frame: DataFrame
+    rows: list | None
+    path: str | None
+
+    @classmethod
+    def of(cls, table: Table, df: DataFrame, small: bool) -> Change:
+        names = [c.name for c in table.columns]
+        if set(names) <= set(df.columns):
+            df = df.select(*(named(c).cast(c.type.spark).alias(c.name) for c in table.columns), F.col(ROWID).cast("long").alias(ROWID))
+        if small:
+            rows = [tuple(r) for r in df.orderBy(ROWID).collect()]
+            return cls(table, df.sparkSession.createDataFrame(rows, df.schema), rows, None)
+        path = write_part(table, df, table.edition + 1)
+        return cls(table, df.sparkSession.read.schema(df.schema).parquet(path), None, path)
+
+    def facts(self) -> dict:
+        """How many rows, how many of them bear ids of before, the largest id; NOT NULL is checked."""
+        must = [(i, c) for i, c in enumerate(self.table.columns) if not c.nullable and c.name in self.frame.columns]
+        old = self.table.next_id
+        if self.rows is not None:
+            empty = [sum(r[i] is None for r in self.rows) for i, _ in must]
+            n, known, top = len(self.rows), sum(r[-1] < old for r in self.rows), max((r[-1] for r in self.rows), default=-1)
+        else:
+            n, known, top, *empty = self.frame.agg(F.count("*"), F.count_if(F.col(ROWID) < old), F.coalesce(F.max(ROWID), F.lit(-1)), *(F.count_if(named(c).isNull()) for _, c in must)).first()
+        for (_, c), k in zip(must, empty):
+            if k:
+                self.drop()
+                raise E.NullViolation(c.name)
+        return {"n": n, "old": known, "top": top}
+
+    def drop(self) -> None:
+        if self.path:
+            drop_scratch(self.frame.sparkSession, self.path)
+
+    def check_unique(self, columns: list[Column], others: list | DataFrame | None) -> None:
+        """No value of these columns twice, neither in the change nor in the rows that it leaves as they are; nulls are distinct."""
+        for c in columns:
+            if self.rows is not None and isinstance(others, list):
+                i = self.table.columns.index(c)
+                keys = [key(r[i]) for r in [*others, *self.rows] if r[i] is not None]
                 twice = len(keys) != len(set(keys))
             else:
-                k = F.col(f"`{c.name}`")
-                twice = table.frame.filter(k.isNotNull()).groupBy(k).count().filter("count > 1").limit(1).count()
+                keys = self.frame.filter(named(c).isNotNull()).groupBy(named(c).alias("_k")).agg(F.count("*").alias("n"))
+                bad = keys.filter("n > 1").select("_k")
+                if others is not None:
+                    bad = bad.union(keys.join(others.select(named(c).alias("_o")), F.col("_k") == F.col("_o"), "left_semi").select("_k"))
+                twice = bad.limit(1).count()
             if twice:
+                self.drop()
                 raise E.UniqueViolation(c.name)
-    return table
-
 
-def version(table: Table, df: DataFrame, next_id: int) -> Table:
-    """The next version with the rows of df, written before it is read again."""
-    spark = df.sparkSession
-    df = df.select(*(F.col(f"`{c.name}`").cast(c.type.spark) for c in table.columns), F.col(ROWID).cast("long"))
-    rows = df.orderBy(ROWID).limit(LOCAL + 1).collect()
-    if len(rows) <= LOCAL:
-        return replace(table, rows=tuple(tuple(r) for r in rows), frame=None, count=len(rows), next_id=next_id)
-    path = scratch_path(spark, f"table-{table.name}")
-    df.write.parquet(path)
-    frame = spark.read.schema(struct_of(list(table.columns))).parquet(path)
-    return replace(table, rows=None, frame=frame, count=frame.count(), next_id=next_id)
 
-
-def incoming(table: Table, rows, spark: SparkSession) -> DataFrame:
-    """A batch with its order: a list of rows in schema order, or a DataFrame with the table's columns."""
+def settled(table: Table, change: Change, facts: dict, spark: SparkSession, kind: str) -> Table:
+    """The next version; kind tells if the change adds rows, replaces rows of the same ids, or only marks them."""
+    count = table.count - facts["n"] if kind == "marks" else table.count + facts["n"] - facts["old"]
+    if count > MAX_ROWS:
+        change.drop()
+        raise E.TableRowLimit(count, MAX_ROWS)
+    next_id = max(table.next_id, facts["top"] + 1)
+    if count <= LOCAL:
+        ids = {r[-1] for r in change.rows} if change.rows is not None else None
+        if table.frame is None and ids is not None:
+            rows = [r for r in table.rows if r[-1] not in ids] + ([] if kind == "marks" else change.rows)
+        else:
+            now = table.data(spark).join(change.frame.select(F.col(ROWID).alias("_gone")), F.col(ROWID) == F.col("_gone"), "left_anti")
+            now = now if kind == "marks" else now.unionByName(change.frame)
+            rows = [tuple(r) for r in now.collect()]
+            change.drop()
+        return replace(table, rows=tuple(sorted(rows, key=lambda r: r[-1])), frame=None, parts=(), marks=(), dead=0, count=len(rows), next_id=next_id)
+    if table.frame is None:
+        table = compacted(table, spark) if table.rows else replace(table, edition=table.edition + 1)
+        if change.path is None or (table.parts and kind != "rows"):  # marks hold for older editions only
+            change = replace_change(change, table)
+    parts = table.parts if kind == "marks" else (*table.parts, change.path)
+    marks = table.marks if kind == "rows" else (*table.marks, change.path)
+    dead = table.dead + (facts["n"] if kind == "marks" else facts["old"])
+    out = replace(table, rows=None, frame=read_parts(table.columns, parts, marks, spark), parts=parts, marks=marks, edition=table.edition + 1, dead=dead, count=count, next_id=next_id)
+    return compacted(out, spark) if dead * 4 > count or len(parts) + len(marks) > FOLDERS else out
+
+
+def replace_change(change: Change, table: Table) -> Change:
+    """The change as a folder of the edition after the table's."""
+    path = write_part(table, change.frame, table.edition + 1)
+    change.drop()
+    return Change(table, change.frame, None, path)
+
+
+# --- rows that come in -----------------------------------------------------------------------------
+
+
+def incoming(table: Table, rows, spark: SparkSession, ordered: bool = False) -> DataFrame:
+    """A batch with its order: a list of rows in schema order, or a DataFrame with the table's columns (with `ordered`, and `_ord`)."""
+    if ordered:
+        return rows
     if isinstance(rows, DataFrame):
-        df = rows.select(*(F.col(f"`{c.name}`").cast(c.type.spark) for c in table.columns))
-        return df.withColumn("_ord", F.monotonically_increasing_id())
+        by_name = {n.lower(): n for n in rows.columns}
+        missing = [c.name for c in table.columns if c.name.lower() not in by_name]
+        if missing:
+            raise E.ColumnNotFound(missing[0])
+        return rows.select(*(named(by_name[c.name.lower()]).cast(c.type.spark).alias(c.name) for c in table.columns), F.monotonically_increasing_id().alias("_ord"))
     struct = struct_of(list(table.columns), False).add("_ord", "long")
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], struct)
 
@@ -111,7 +216,11 @@ def writable(table: Table) -> Table:
     return table
 
 
-def insert(table: Table, rows, conflict: Conflict | None, spark: SparkSession) -> tuple[Table, int]:
+def is_small(table: Table, rows) -> bool:
+    return table.frame is None and not isinstance(rows, DataFrame) and table.count + len(rows) <= LOCAL
+
+
+def insert(table: Table, rows, conflict: Conflict | None, spark: SparkSession, ordered: bool = False) -> tuple[Table, int]:
     """Appends a batch under a conflict policy; all or nothing."""
     writable(table)
     target = None
@@ -122,19 +231,20 @@ def insert(table: Table, rows, conflict: Conflict | None, spark: SparkSession) -
     if conflict and conflict.assignments is not None:
         if target is None:
             raise E.InvalidQuery("DO UPDATE requires a conflict target")
-        return _upsert(table, incoming(table, rows, spark), target, conflict, spark)
-    if not isinstance(rows, DataFrame) and table.frame is None and table.count + len(rows) <= LOCAL:
+        return _upsert(table, rows, target, conflict, spark, ordered)
+    if is_small(table, rows):
         return _insert_local(table, rows, conflict, target)
-    batch = incoming(table, rows, spark)
+    batch, scratch = incoming(table, rows, spark, ordered), []
     if conflict:
-        batch = _without_conflicts(table, batch, [target] if target else [c for c in table.columns if c.unique], spark)
-    new = _numbered(batch, table)
-    out = version(table, table.data(spark).unionByName(new), table.next_id + _span(batch))
-    return validate(out, spark), out.count - table.count
-
-
-def _span(batch: DataFrame) -> int:
-    return int(batch.agg(F.max("_ord")).first()[0] or 0) + 1
+        batch = _without_conflicts(table, batch, [target] if target else [c for c in table.columns if c.unique], spark, scratch)
+    change = Change.of(table, _numbered(batch, table), False)
+    drop_scratch(spark, *scratch)
+    facts = change.facts()
+    if not facts["n"]:
+        change.drop()
+        return table, 0
+    change.check_unique([c for c in table.columns if c.unique and not (conflict and target in (None, c))], table.data(spark) if table.count else None)
+    return settled(table, change, facts, spark, "rows"), facts["n"]
 
 
 def _numbered(batch: DataFrame, table: Table) -> DataFrame:
@@ -159,48 +269,83 @@ def _insert_local(table: Table, rows, conflict, target) -> tuple[Table, int]:
     return replace(table, rows=table.rows + tuple(new), count=table.count + len(new), next_id=n), len(new)
 
 
-def _without_conflicts(table: Table, batch: DataFrame, columns: list[Column], spark: SparkSession) -> DataFrame:
-    """The rows that conflict neither with stored nor with accepted earlier ones."""
-    data = table.data(spark)
-    for c in columns:
-        k = f"`{c.name}`"
-        batch = batch.join(data.select(F.col(k).alias("_k")).filter("_k is not null"), F.col(k) == F.col("_k"), "left_anti")
-    if len(columns) == 1:
-        k = F.col(f"`{columns[0].name}`")
-        rank = F.row_number().over(Window.partitionBy(k).orderBy("_ord"))
-        return batch.withColumn("_i", rank).filter(k.isNull() | (F.col("_i") == 1)).drop("_i")
-    # several keys: which row wins depends on the order of all before it; only keys come to the driver
-    keys = batch.select("_ord", *(F.col(f"`{c.name}`") for c in columns)).orderBy("_ord").limit(MAX_ROWS + 1).collect()
-    seen, lost = [set() for _ in columns], []
-    for r in keys:
-        ks = [key(v) for v in r[1:]]
-        if any(k is not None and k in s for k, s in zip(ks, seen)):
-            lost.append((r[0],))
-        else:
-            for k, s in zip(ks, seen):
-                s.add(k)
-    return batch.join(spark.createDataFrame(lost, "_ord long"), "_ord", "left_anti") if lost else batch
-
-
-def _upsert(table: Table, batch: DataFrame, target: Column, conflict: Conflict, spark: SparkSession) -> tuple[Table, int]:
+def _without_conflicts(table: Table, batch: DataFrame, columns: list[Column], spark: SparkSession, scratch: list[str]) -> DataFrame:
+    """The rows that conflict neither with stored nor with accepted earlier ones.
+
+    Which rows win depends on the order of all before them: in each round the rows that are the first of
+    all their keys are accepted, and those that share a key with one of them are out. The first row left
+    is always accepted; most batches take one round.
+    """
+    batch, path = materialise(batch, "batch")
+    scratch.append(path)
+    keys = [f"_k{i}" for i in range(len(columns))]
+    left = batch.select("_ord", *(named(c).alias(k) for c, k in zip(columns, keys)))
+    if table.count:
+        data = table.data(spark)
+        for c, k in zip(columns, keys):
+            left = left.join(data.select(named(c).alias("_o")), F.col(k) == F.col("_o"), "left_anti")
+    rounds = []
+    while True:
+        left, path = materialise(left, "undecided")
+        scratch.append(path)
+        firsts = left
+        for k in keys:
+            least = left.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_o")).agg(F.min("_ord").alias(f"_first{k}"))
+            firsts = firsts.join(least, F.col(k) == F.col("_o"), "left").drop("_o")
+        accepted = firsts.filter(reduce(lambda a, b: a & b, (F.coalesce(F.col(f"_first{k}") == F.col("_ord"), F.lit(True)) for k in keys), F.lit(True)))
+        accepted, path = materialise(accepted.select("_ord", *keys), "accepted")
+        scratch.append(path)
+        rounds.append(accepted.select("_ord"))
+        left = left.join(accepted.select("_ord"), "_ord", "left_anti")
+        for k in keys:
+            left = left.join(accepted.select(F.col(k).alias("_o")), F.col(k) == F.col("_o"), "left_anti")
+        if not left.limit(1).count():
+            return batch.join(reduce(DataFrame.union, rounds), "_ord", "left_semi")
+
+
+def _upsert(table: Table, rows, target: Column, conflict: Conflict, spark: SparkSession, ordered: bool) -> tuple[Table, int]:
     """Updates rows of equal key, adds the others; a row may be touched once only."""
-    k = f"`{target.name}`"
-    if batch.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1").limit(1).count():
-        raise E.InvalidQuery("ON CONFLICT DO UPDATE cannot affect a row a second time")
+    small = is_small(table, rows)
     scope = Scope(list(table.columns), {"excluded": list(table.columns)})
     build = Builder(scope, lambda c, q: F.col(f"{'i' if q == 'excluded' else 't'}.`{c.name}`"))
     sets = assignments(table, conflict.assignments, build)
-    data = table.data(spark)
-    both = data.alias("t").join(batch.alias("i"), F.col(f"t.{k}") == F.col(f"i.{k}"), "left")
-    hit = F.col("i._ord").isNotNull()
-    if conflict.where is not None:
-        hit = hit & F.coalesce(build.predicate(conflict.where), F.lit(False))
-    cols = [F.when(hit, sets[c.name]).otherwise(F.col(f"t.`{c.name}`")).alias(c.name) if c.name in sets else F.col(f"t.`{c.name}`") for c in table.columns]
-    changed = both.select(*cols, F.col(f"t.{ROWID}").alias(ROWID), hit.alias("_hit"))
-    new = batch.join(data.select(F.col(k).alias("_k")).filter("_k is not null"), F.col(k) == F.col("_k"), "left_anti")
-    affected = changed.filter("_hit").count()
-    out = version(table, changed.drop("_hit").unionByName(_numbered(new, table)), table.next_id + _span(batch))
-    return validate(out, spark), affected + out.count - table.count
+    batch, scratch = incoming(table, rows, spark, ordered), []
+    if not small:
+        batch, path = materialise(batch, "batch")
+        scratch.append(path)
+    k = f"`{target.name}`"
+    i = table.columns.index(target)
+    given = [key(r[i]) for r in rows if r[i] is not None] if not isinstance(rows, DataFrame) else None
+    if len(set(given)) != len(given) if given is not None else batch.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1").limit(1).count():
+        raise E.InvalidQuery("ON CONFLICT DO UPDATE cannot affect a row a second time")
+    both = table.data(spark).alias("t").join(batch.alias("i"), F.col(f"t.{k}") == F.col(f"i.{k}"))
+    hit = F.coalesce(build.predicate(conflict.where), F.lit(False)) if conflict.where is not None else F.lit(True)
+    cols = [(sets[c.name] if c.name in sets else F.col(f"t.`{c.name}`")).alias(c.name) for c in table.columns]
+    matched = both.select(*cols, F.col(f"t.{ROWID}").alias(ROWID), F.col("i._ord").alias("_ord"), hit.alias("_hit"))
+    if not small:
+        matched, path = materialise(matched, "matched")
+        scratch.append(path)
+    new = _numbered(batch.join(matched.select("_ord"), "_ord", "left_anti"), table) if table.count else _numbered(batch, table)
+    change = Change.of(table, matched.filter("_hit").drop("_hit", "_ord").unionByName(new), small)
+    drop_scratch(spark, *scratch)
+    facts = change.facts()
+    if not facts["n"]:
+        change.drop()
+        return table, 0
+    _check_replaced(table, change, [c for c in table.columns if c.unique], spark)
+    return settled(table, change, facts, spark, "both"), facts["n"]
+
+
+def _check_replaced(table: Table, change: Change, columns: list[Column], spark: SparkSession) -> None:
+    """Uniqueness of a change against the rows whose ids it does not bear."""
+    if not columns:
+        return
+    if table.frame is None and change.rows is not None:
+        ids = {r[-1] for r in change.rows}
+        change.check_unique(columns, [r for r in table.rows if r[-1] not in ids])
+    else:
+        others = table.data(spark).join(change.frame.select(F.col(ROWID).alias("_gone")), F.col(ROWID) == F.col("_gone"), "left_anti")
+        change.check_unique(columns, others if table.count else None)
 
 
 def assignments(table: Table, pairs, build: Builder) -> dict:
@@ -224,18 +369,27 @@ def update(table: Table, pairs, where, spark: SparkSession) -> tuple[Table, int]
     writable(table)
     build = Builder(Scope(list(table.columns)))
     sets = assignments(table, pairs, build)
-    hit = F.coalesce(build.predicate(where), F.lit(False)) if where is not None else F.lit(True)
     data = table.data(spark)
-    affected = data.filter(hit).count()
-    if not affected:
+    if where is not None:
+        data = data.filter(build.predicate(where))
+    cols = [sets[c.name].alias(c.name) if c.name in sets else named(c) for c in table.columns]
+    change = Change.of(table, data.select(*cols, ROWID), table.frame is None)
+    facts = change.facts()
+    if not facts["n"]:
+        change.drop()
         return table, 0
-    cols = [F.when(hit, sets[c.name]).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in sets else F.col(f"`{c.name}`") for c in table.columns]
-    return validate(version(table, data.select(*cols, ROWID), table.next_id), spark), affected
+    _check_replaced(table, change, [c for c in table.columns if c.unique and c.name in sets], spark)
+    return settled(table, change, facts, spark, "both"), facts["n"]
 
 
 def delete(table: Table, where, spark: SparkSession) -> tuple[Table, int]:
     writable(table)
-    build = Builder(Scope(list(table.columns)))
-    keep = ~F.coalesce(build.predicate(where), F.lit(False)) if where is not None else F.lit(False)
-    out = version(table, table.data(spark).filter(keep), table.next_id)
-    return (out if out.count != table.count else table), table.count - out.count
+    data = table.data(spark)
+    if where is not None:
+        data = data.filter(Builder(Scope(list(table.columns))).predicate(where))
+    change = Change.of(table, data.select(ROWID), table.frame is None)
+    facts = change.facts()
+    if not facts["n"]:
+        change.drop()
+        return table, 0
+    return settled(table, change, facts, spark, "marks"), facts["n"]

@@ -22,6 +22,8 @@ from quarry.plans.syntax import Array, Between, Binary, Call, Cast, Col, In, Is,
 from quarry.types import DOUBLE, INTEGER, Column, Type
 
 ROWID = "_rowid"
+TIE = "_tie"  # where a row of an attached table stands in its files
+INT = (1 << 31) - 1
 
 
 class Builder:
@@ -111,7 +113,7 @@ class Builder:
         a, b = self(e.a), self(e.b)
         return {"=": a.__eq__, "<>": a.__ne__, "<": a.__lt__, "<=": a.__le__, ">": a.__gt__, ">=": a.__ge__}[e.op](b)
 
-    def vectors(self, a: Node, b: Node) -> tuple:
+    def operands(self, a: Node, b: Node) -> tuple:
         out = [constant(x) for x in (a, b)]
         out = [self(x).cast("array<float>") if v is None else v for x, v in zip((a, b), out)]
         if not any(isinstance(x, C) for x in out):
@@ -119,7 +121,7 @@ class Builder:
         return tuple(out)
 
     def distance(self, name: str, a: Node, b: Node) -> C:
-        x, y = self.vectors(a, b)
+        x, y = self.operands(a, b)
         if name == "negative_dot_product":
             return -V.dot_product(x, y)
         return getattr(V, name)(x, y)
@@ -239,10 +241,23 @@ def check(select: Select, columns: list[Column]) -> Checked:
     return Checked(select, columns, outputs, order, aggregate, limit, offset, scope)
 
 
-def paged(df: DataFrame, c: Checked) -> DataFrame:
-    if c.offset:
-        df = df.offset(min(c.offset, (1 << 31) - 1))
-    return df.limit(min(c.limit, (1 << 31) - 1)) if c.limit is not None else df
+def paged(df: DataFrame, c: Checked, keys: list[C], rows: int | None = None) -> DataFrame:
+    """LIMIT and OFFSET of rows sorted by keys; `rows` is the most there can be, where that is known.
+
+    Spark takes 32 bits. Numbers beyond that need the rows counted in order, in one task, unless there are fewer rows.
+    """
+    limit, offset = c.limit, c.offset
+    if rows is not None:
+        limit = None if limit is not None and limit >= rows else limit
+        if offset >= rows:
+            return df.limit(0)
+    if offset <= INT and (limit is None or limit <= INT):
+        df = df.offset(offset) if offset else df
+        return df.limit(limit) if limit is not None else df
+    place = F.count(F.lit(1)).over(Window.orderBy(*(keys or [F.monotonically_increasing_id()])).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = (F.col("_place") > offset) & (F.col("_place") <= (offset + limit if limit is not None else (1 << 63) - 1))
+    df = df.withColumn("_place", place).filter(inside)
+    return df.orderBy("_place") if keys else df
 
 
 def keys_of(c: Checked, build: Builder, ranked: bool = True) -> list[C]:
@@ -253,23 +268,25 @@ def named(c: Checked, build: Builder) -> list[C]:
     return [build(x.e).cast(x.type.spark).alias(x.label) if x.type else build(x.e).alias(x.label) for x in c.outputs]
 
 
-def to_frame(c: Checked, spark: SparkSession, source: DataFrame | None) -> DataFrame:
-    """The DataFrame of a checked SELECT."""
+def to_frame(c: Checked, spark: SparkSession, source: DataFrame | None, rows: int | None = None) -> DataFrame:
+    """The DataFrame of a checked SELECT; `rows` is the number of the source's rows, where it is known."""
     df = source if source is not None else spark.range(1).withColumnRenamed("id", ROWID)
     build = Builder(c.scope)
     if c.select.where is not None:
         df = df.filter(build.predicate(c.select.where))
     rowid = ROWID in df.columns
     if c.aggregate:
-        return _aggregated(c, df, build, rowid)
+        return _aggregated(c, df, build, rowid, rows)
     if c.select.distinct:
-        return _distinct(c, df, build, rowid)
+        return _distinct(c, df, build, rowid, rows)
     keys = keys_of(c, build)
     if rowid and (keys or c.limit is not None or c.offset):
         keys.append(F.col(ROWID).asc())
+    elif TIE in df.columns and keys:
+        keys.append(F.col(TIE).asc())
     if keys:
         df = df.orderBy(*keys)
-    return paged(df, c).select(*named(c, build))
+    return paged(df, c, keys, rows).select(*named(c, build))
 
 
 def _calls(e: Node) -> list[Call]:
@@ -278,7 +295,7 @@ def _calls(e: Node) -> list[Call]:
     return [x for ch in children(e) for x in _calls(ch)]
 
 
-def _aggregated(c: Checked, df: DataFrame, build: Builder, rowid: bool) -> DataFrame:
+def _aggregated(c: Checked, df: DataFrame, build: Builder, rowid: bool, rows: int | None) -> DataFrame:
     groups = {strip(g): build(g).alias(f"_g{i}") for i, g in enumerate(c.select.group)}
     every = [x.e for x in c.outputs] + [e for _, e in c.order] + ([c.select.having] if c.select.having is not None else [])
     calls = {strip(a): a for e in every for a in _calls(e)}
@@ -291,16 +308,16 @@ def _aggregated(c: Checked, df: DataFrame, build: Builder, rowid: bool) -> DataF
     if c.select.having is not None:
         df = df.filter(after.predicate(c.select.having))
     if c.select.distinct:
-        return _distinct(c, df.withColumn(ROWID, F.col("_first")) if first else df, after, bool(first))
+        return _distinct(c, df.withColumn(ROWID, F.col("_first")) if first else df, after, bool(first), rows)
     keys = keys_of(c, after, False)
     if first:
         keys.append(F.col("_first").asc())
     if keys:
         df = df.orderBy(*keys)
-    return paged(df, c).select(*named(c, after))
+    return paged(df, c, keys, max(rows, 1) if rows is not None else None).select(*named(c, after))
 
 
-def _distinct(c: Checked, df: DataFrame, build: Builder, rowid: bool) -> DataFrame:
+def _distinct(c: Checked, df: DataFrame, build: Builder, rowid: bool, rows: int | None) -> DataFrame:
     """The first of equal rows; sorting may use what is not projected."""
     out = named(c, build)
     names = [f"_o{i}" for i in range(len(out))]
@@ -317,4 +334,4 @@ def _distinct(c: Checked, df: DataFrame, build: Builder, rowid: bool) -> DataFra
         sort.append(F.col(ROWID).asc())
     if sort:
         df = df.orderBy(*sort)
-    return paged(df, c).select(*(F.col(n).alias(x.label) for n, x in zip(names, c.outputs)))
+    return paged(df, c, sort, max(rows, 1) if rows is not None else None).select(*(F.col(n).alias(x.label) for n, x in zip(names, c.outputs)))

@@ -58,6 +58,8 @@ class Api:
         except E.QuarryError as e:
             status, code = E.http_status(e)
             return status, {"error": {"code": code, "message": str(e)}}, {}
+        except Exception as e:  # noqa: BLE001  a request never ends without an answer
+            return 500, {"error": {"code": "internal_error", "message": type(e).__name__}}, {}
 
     def route(self, method: str, path: str, body: bytes, headers: dict):
         if (method, path) == ("GET", "/healthz"):
@@ -66,7 +68,7 @@ class Api:
             return {"status": "ready", "revision": self.db.revision, "database_tasks_in_flight": self.in_flight, **asdict(self.limits)}
         if (method, path) == ("GET", "/metrics"):
             return self.metrics()
-        if self.token and not hmac.compare_digest(headers.get("authorization", ""), f"Bearer {self.token}"):
+        if self.token and not hmac.compare_digest(headers.get("authorization", "").encode("utf-8", "surrogateescape"), f"Bearer {self.token}".encode()):
             raise HttpError(401, "unauthorized", "a valid bearer token is required")
         if len(body) > self.limits.max_json_payload_bytes:
             raise HttpError(413, "payload_too_large", f"the payload is over {self.limits.max_json_payload_bytes} bytes")
@@ -80,6 +82,17 @@ class Api:
             self.in_flight -= 1
             self.slots.release()
 
+    def field(self, req: dict, name: str, kind: type, *default):
+        """A field of a request, of the kind that it must have; without a default it must be there."""
+        value = req.get(name)
+        if value is None:
+            if default:
+                return default[0]
+            raise HttpError(400, "invalid_request", f"missing field {name}")
+        if not isinstance(value, kind) or isinstance(value, bool) and kind is not bool:
+            raise HttpError(400, "invalid_request", f"{name} must be of type {kind.__name__}")
+        return value
+
     def work(self, method: str, path: str, body: bytes):
         parts = path.strip("/").split("/")
         if method == "GET" and parts[:2] == ["v1", "tables"] and len(parts) in (2, 3):
@@ -93,22 +106,29 @@ class Api:
         if not isinstance(req, dict):
             raise HttpError(400, "invalid_json", "expected an object")
         if path == "/v1/sql":
-            results = self.db.execute(str(req.get("sql", "")), self.limits.max_response_rows)
+            results = self.db.execute(self.field(req, "sql", str), self.limits.max_response_rows)
             return {"results": [result_to_json(r) for r in results]}
         if path == "/v1/sql/intent":
-            return {"operation": "select"} | asdict(self.db.query_intent(str(req.get("sql", ""))))
+            return {"operation": "select"} | asdict(self.db.query_intent(self.field(req, "sql", str)))
         if path in ("/v1/vector/search", "/v1/embeddings/search"):
-            for name in ("table", "vector_column", "query"):
-                if name not in req:
-                    raise HttpError(400, "invalid_request", f"missing field {name}")
-            return result_to_json(self.db.search(req["table"], req["vector_column"], req["query"], req.get("metric", "cosine"), req.get("select"), req.get("filters"), req.get("limit", 10)))
+            table, column, query = (self.field(req, n, k) for n, k in (("table", str), ("vector_column", str), ("query", list)))
+            metric, limit = self.field(req, "metric", str, "cosine"), self.field(req, "limit", int, 10)
+            select, filters = self.field(req, "select", list, None), self.field(req, "filters", list, None)
+            if not all(isinstance(x, str) for x in select or []):
+                raise HttpError(400, "invalid_request", "select must be a list of names")
+            return result_to_json(self.db.search(table, column, query, metric, select, filters, limit))
         if parts[:2] == ["v1", "tables"] and len(parts) == 4 and parts[3] == "rows":
             rows = req.get("rows")
             if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
                 raise HttpError(400, "invalid_request", "rows must be a list of objects")
             if len(rows) > self.limits.max_bulk_rows:
                 raise HttpError(413, "too_many_rows", f"at most {self.limits.max_bulk_rows} rows")
-            n = self.db.ingest_json(parts[2], rows, bool(req.get("normalize_vectors")), req.get("on_conflict", "fail"), req.get("conflict_target"), req.get("update_columns"))
+            # fixed values: names of the request's fields
+            unit_length = self.field(req, "normalize_vectors", bool, False)
+            update = self.field(req, "update_columns", list, None)
+            if not all(isinstance(x, str) for x in update or []):
+                raise HttpError(400, "invalid_request", "update_columns must be a list of names")
+            n = self.db.ingest_json(parts[2], rows, unit_length, self.field(req, "on_conflict", str, "fail"), self.field(req, "conflict_target", str, None), update)
             return {"results": [{"type": "command", "tag": "INSERT", "rows_affected": n}]}
         raise HttpError(404, "not_found", f"no route {method} {path}")
 
@@ -129,7 +149,8 @@ def serve(api: Api, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPS
 
     class Handler(BaseHTTPRequestHandler):
         def answer(self):
-            n = int(self.headers.get("Content-Length") or 0)
+            given = self.headers.get("Content-Length") or "0"
+            n = int(given) if given.isascii() and given.isdigit() else 0
             body = self.rfile.read(min(n, api.limits.max_json_payload_bytes + 1))
             status, value, extra = api.handle(self.command, self.path, body, dict(self.headers))
             text = value if isinstance(value, str) else json.dumps(value)
