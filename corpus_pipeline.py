@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact, mixing, neardup, pieces, toxicity
-from quarry.llm.common import batched, scratch_path, text_bytes
+from quarry.llm.common import batched, drop_scratch, scratch_path, scratch_scope, text_bytes
 
 ORACLE_SQL = None  # the classifier and the seeded mix are beyond SQL; tests hold run() against a brute-force version
 
@@ -53,16 +53,17 @@ STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
+    """All stages over documents, each written to the shared folder and read again; what a stage has made besides, and the
+    stage before it, is deleted then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+        with scratch_scope(spark, name):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        drop_scratch(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict:
