@@ -40,6 +40,7 @@ class Table:
     count: int = 0
     next_id: int = 0
     read_only: bool = False
+    placed: DataFrame | None = None  # of an attached table: its frame with the place of each row
     parts: tuple[str, ...] = ()
     marks: tuple[str, ...] = ()
     edition: int = 0

@@ -107,6 +107,8 @@ PLAIN: dict[str, tuple] = {
     "agg_events": ("SELECT event_type, COUNT(*) AS n, SUM(value) AS v, COUNT(DISTINCT user_id) AS u FROM events GROUP BY event_type", "SELECT event_type, COUNT(*) AS n, round(SUM(value), 4) AS v, COUNT(DISTINCT user_id) AS u FROM events GROUP BY event_type", ()),
     "order_multi": ("SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey", "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal FROM customer", ()),
     "topk_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 7", SAME, ()),
+    "limit_offset_wide": ("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 9000000000000000000 OFFSET 30", "SELECT p_partkey FROM part ORDER BY p_partkey OFFSET 30", ()),
+    "ties_by_place": ("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC LIMIT 40 OFFSET 5", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 40 OFFSET 5", ()),
     "limit_offset": ("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 10 OFFSET 30", SAME, ()),
     "distinct": ("SELECT DISTINCT p_brand, p_size FROM part", "SELECT DISTINCT p_brand, p_size::BIGINT AS p_size FROM part", ()),
     "distinct_order_foreign": ("SELECT DISTINCT n_regionkey FROM nation ORDER BY n_nationkey LIMIT 3", "SELECT n_regionkey::BIGINT AS n_regionkey FROM nation GROUP BY 1 ORDER BY min(n_nationkey) LIMIT 3", ()),
@@ -224,6 +226,72 @@ def intent(spark, sf_dir):
     return spark.createDataFrame([(c.output_name, c.role, i.summary) for c in i.columns], "output_name string, role string, summary string")
 
 
+def explain_steps(spark, sf_dir):
+    """The steps of plans, without Spark's own."""
+    db, out = database(spark, sf_dir), []
+    for n, text in enumerate((f"SELECT vec_id, embedding <=> {Q} AS d FROM embeddings WHERE label = 3 ORDER BY d LIMIT 5 OFFSET 1", "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand HAVING COUNT(*) > 1 ORDER BY n", "SELECT 1 AS one")):
+        steps = [r[0] for r in db.query("EXPLAIN " + text).rows]
+        out += [(n, i, s.split(" (")[0].split(": ")[0], s if s.startswith(("Scan", "Compute", "Limit", "Having")) else None) for i, s in enumerate(steps)]
+    return spark.createDataFrame(out, "query long, step long, kind string, line string")
+
+
+def definitions(spark, sf_dir):
+    """Tables and indexes that are made, used and dropped."""
+    db = Database(spark)
+    db.execute("CREATE TABLE a (k INTEGER PRIMARY KEY, v TEXT COMMENT 'shown'); CREATE TABLE IF NOT EXISTS a (z INT); CREATE INDEX a_v ON a (v); CREATE TABLE b (k INT); DROP TABLE b; DROP TABLE IF EXISTS c")
+    db.execute("INSERT INTO a VALUES (1, 'x'), (2, 'y'), (3, 'x'); CREATE TABLE b (w TEXT, u VECTOR(2)); INSERT INTO b (u) VALUES ([1, 2]); DROP INDEX a_v; DROP INDEX IF EXISTS a_v")
+    shape = [(t, c.name, str(c.type), c.nullable, c.unique, db.table_info(t)["rows"]) for t in db.list_tables() for c in db.schema(t)]
+    return spark.createDataFrame(shape, "table_name string, column_name string, type string, nullable boolean, is_unique boolean, n long")
+
+
+def _null_vectors(spark, sf_dir):
+    """NULL vectors in rankings: last ascending, first descending, ties in insertion order."""
+    db = database(spark, sf_dir)
+    db.execute(f"CREATE TABLE nv (id INTEGER, v VECTOR({DIMS}))")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 400")
+    db.insert_rows("nv", [(r["vec_id"], None if r["vec_id"] % 50 == 7 else list(r["embedding"])) for r in e.orderBy("vec_id").collect()])
+    parts = [db.sql(f"SELECT id FROM nv ORDER BY v <-> {Q} {how} LIMIT {n} OFFSET {m}").select(F.lit(how).alias("how"), "id") for how, n, m in (("DESC", 12, 3), ("NULLS FIRST", 10, 4), ("ASC", 10, 0))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _durable_reopen(spark, sf_dir):
+    """A DataFrame of other columns in another order, an upsert and a deletion, a checkpoint between; then closed and opened."""
+    from quarry.sources.scratch import scratch_path
+
+    path = scratch_path(spark, "database")
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    db = Database.open_persistent(spark, path)
+    db.execute("CREATE TABLE e (event_id INTEGER PRIMARY KEY, user_id INTEGER, event_type TEXT, value DOUBLE)")
+    db.insert_rows("e", df.select("value", F.lit(1).alias("more"), "event_type", "user_id", "event_id"))
+    db.checkpoint()
+    db.insert_rows("e", _more(df).select("event_type", "event_id", "value", "user_id"), "do_update", "event_id", ["event_type", "value"])
+    db.execute("DELETE FROM e WHERE user_id < 20; INSERT INTO e (event_id) VALUES (-5)")
+    db.close()
+    db = Database.open_persistent(spark, path)
+    out = db.sql(_PICK)
+    db.close()
+    return out
+
+
+def _first_of_each(db, spark, df):
+    """Conflicts on two keys: of three rows in a row one user number is new, of two one type."""
+    new = df.orderBy("event_id").select((F.col("event_id") + 10**9).alias("event_id"), F.floor(F.col("event_id") / 3).alias("user_id"), F.concat(F.lit("t"), F.floor(F.col("event_id") / 2)).alias("event_type"), F.lit(0.0).alias("value"))
+    db.insert_rows("e", new, "do_nothing")
+
+
+_PAIR = [Column("event_id", INTEGER, False), Column("user_id", INTEGER, True, True), Column("event_type", TEXT, True, True), Column("value", DOUBLE)]
+
+
+def _two_keys(spark, sf_dir):
+    from quarry.operators.tables import Table
+
+    db = database(spark, sf_dir)
+    db.tables["e"] = Table("e", tuple(_PAIR))
+    db.insert_rows("e", [(-1, -1, "x", 1.0), (-2, 0, None, 1.0)])
+    _first_of_each(db, spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return db.sql(_PICK)
+
+
 _E = "1 - list_inner_product(embedding::DOUBLE[], {q}) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))".format(q=QD)
 EXTRA_SQL = {
     "order_nulls": "WITH n AS (SELECT n_nationkey::BIGINT AS n_nationkey, nullif(n_regionkey, 2)::BIGINT AS k FROM nation) " + " UNION ALL ".join(
@@ -231,6 +299,20 @@ EXTRA_SQL = {
             ("k, n_nationkey", "k NULLS LAST, n_nationkey"), ("k DESC, n_nationkey", "k DESC NULLS FIRST, n_nationkey"), ("k NULLS FIRST, n_nationkey",) * 2, ("k DESC NULLS LAST, n_nationkey",) * 2)),
     "null_logic": "WITH p AS (SELECT p_partkey, nullif(p_size, 7) AS k, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 2 = 0 END AS b FROM part) SELECT p_partkey, b AND k > 5 AS a, b OR k > 5 AS o, NOT b AS n, k IN (1, NULL) AS i, k BETWEEN 3 AND 9 AS w, b IS TRUE AS t, b IS NOT FALSE AS f, k IS NULL AS z FROM p",
     "search_filters": f"SELECT vec_id, label::BIGINT AS label, {_dist('cosine')} AS distance FROM embeddings WHERE label >= 2 AND vec_id <> 5 ORDER BY {_E} LIMIT 15",
+    # the steps' kinds; lines where they hang on the tables
+    "explain_steps": "WITH e AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT count(*) AS n FROM part) SELECT q AS query, i AS step, kind, line FROM ("
+        "SELECT 0::BIGINT q, 0::BIGINT i, 'Scan' kind, 'Scan: sequential on embeddings (' || n || ' row(s))' AS line FROM e UNION ALL SELECT 0, 4, 'Compute', 'Compute: CPU exact scan (' || n || ' candidate(s) x 64 dimensions)' FROM e "
+        "UNION ALL SELECT 1, 0, 'Scan', 'Scan: sequential on part (' || n || ' row(s))' FROM p UNION ALL VALUES (0, 1, 'Filter', NULL), (0, 2, 'Projection', NULL), (0, 3, 'VectorTopK', NULL), (0, 5, 'Offset', NULL), (0, 6, 'Limit', 'Limit: 5'), "
+        "(1, 1, 'Aggregate', NULL), (1, 2, 'Having', 'Having: COUNT(*) > 1'), (1, 3, 'Projection', NULL), (1, 4, 'Sort', NULL), (2, 0, 'Source', NULL), (2, 1, 'Projection', NULL))",
+    "intent": "SELECT *, 'Rank rows from ''embeddings'' by cosine_distance on ''embedding'' after applying a relational filter; return 3 selected columns, limited to 5 rows' AS summary FROM (VALUES ('vec_id', 'attribute'), ('label', 'attribute'), ('d', 'similarity_score')) AS t(output_name, role)",
+    "definitions": "SELECT * FROM (VALUES ('a', 'k', 'INTEGER', false, true, 3::BIGINT), ('a', 'v', 'TEXT', true, false, 3), ('b', 'w', 'TEXT', true, false, 1), ('b', 'u', 'VECTOR(2)', true, false, 1)) AS t(table_name, column_name, type, nullable, is_unique, n)",
+    "null_vectors": "WITH nv AS (SELECT vec_id AS id, CASE WHEN vec_id % 50 = 7 THEN NULL ELSE list_distance(embedding::DOUBLE[], " + QD + ") END AS d FROM embeddings WHERE vec_id < 400) " + " UNION ALL ".join(
+        f"(SELECT '{how}' AS how, id FROM nv ORDER BY d {by}, id LIMIT {n} OFFSET {m})" for how, by, n, m in (("DESC", "DESC NULLS FIRST", 12, 3), ("NULLS FIRST", "NULLS FIRST", 10, 4), ("ASC", "NULLS LAST", 10, 0))),
+    "durable_reopen": "WITH n AS (SELECT event_id + (SELECT max(event_id) FROM events) // 2 AS event_id, user_id, 'again' AS event_type, value + 1 AS value FROM events), a AS (SELECT coalesce(e.event_id, n.event_id) AS event_id, CASE WHEN e.event_id IS NULL THEN n.user_id ELSE e.user_id END AS user_id, coalesce(n.event_type, e.event_type) AS event_type, coalesce(n.value, e.value) AS value FROM events e FULL JOIN n USING (event_id)) SELECT * FROM a WHERE user_id IS NULL OR user_id >= 20 UNION ALL SELECT -5, NULL, NULL, NULL",
+    "insert_two_keys": """WITH RECURSIVE n AS (SELECT event_id, event_id // 3 AS u, event_id // 2 AS t, row_number() OVER (ORDER BY event_id) AS i FROM events),
+k(i, event_id, u, t, taken, last_u, last_t) AS (SELECT i, event_id, u, t, u <> 0, CASE WHEN u <> 0 THEN u ELSE -1 END, CASE WHEN u <> 0 THEN t ELSE -1 END FROM n WHERE i = 1
+UNION ALL SELECT n.i, n.event_id, n.u, n.t, n.u <> 0 AND n.u <> last_u AND n.t <> last_t, CASE WHEN n.u <> 0 AND n.u <> last_u AND n.t <> last_t THEN n.u ELSE last_u END, CASE WHEN n.u <> 0 AND n.u <> last_u AND n.t <> last_t THEN n.t ELSE last_t END FROM k JOIN n ON n.i = k.i + 1)
+SELECT event_id + 1000000000 AS event_id, u AS user_id, 't' || t AS event_type, 0.0::DOUBLE AS value FROM k WHERE taken UNION ALL VALUES (-1, -1, 'x', 1.0), (-2, 0, NULL, 1.0)""",
     "filtered_topk": f"SELECT vec_id, label::BIGINT AS label, {_dist('cosine')} AS distance FROM embeddings WHERE label % 2 = 0 ORDER BY {_E}, vec_id LIMIT 20",
 }
 
@@ -243,7 +325,7 @@ def _events_rounded(spark, sf_dir):
 def queries() -> dict:
     out = {name: _round(_sql(text), *cols) if cols else _sql(text) for name, (text, _, cols) in PLAIN.items()}
     out |= {name: run for name, (run, _) in WRITES.items()}
-    return out | {"agg_events": _events_rounded, "order_nulls": _order_nulls, "null_logic": _null_logic, "search_filters": search_filters, "filtered_topk": filtered_topk, "explain": explain, "intent": intent}
+    return out | {"agg_events": _events_rounded, "order_nulls": _order_nulls, "null_logic": _null_logic, "search_filters": search_filters, "filtered_topk": filtered_topk, "explain": explain, "intent": intent, "explain_steps": explain_steps, "definitions": definitions, "null_vectors": _null_vectors, "durable_reopen": _durable_reopen, "insert_two_keys": _two_keys}
 
 
 def oracle_sql() -> dict[str, str]:

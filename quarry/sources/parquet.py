@@ -17,7 +17,7 @@ def attach(name: str, df: DataFrame, dims: dict[str, int] | None = None, place=N
     """A read-only table over a DataFrame; array columns need their width, columns of other types are left out.
 
     Nothing is read here: the frame stays a plan, and filters and columns reach the scan. `place` tells
-    where a row stands; equal ranks are put in that order, and it is read for that only.
+    where a row stands; only queries that rank rows read it, to put equal ones in that order.
     """
     dims, columns, out = dims or {}, [], []
     for f in df.schema.fields:
@@ -27,7 +27,7 @@ def attach(name: str, df: DataFrame, dims: dict[str, int] | None = None, place=N
         if kind is not None:
             columns.append(Column(f.name, kind))
             out.append(F.col(f"`{f.name}`").cast(kind.spark).alias(f.name) if f.dataType.simpleString() != kind.spark.simpleString() else F.col(f"`{f.name}`"))
-    return Table(name, tuple(columns), None, df.select(*out, *([place.alias(TIE)] if place is not None else [])), -1, 0, True)
+    return Table(name, tuple(columns), None, df.select(*out), -1, 0, True, placed=df.select(*out, place.alias(TIE)) if place is not None else None)
 
 
 def attach_path(spark: SparkSession, name: str, path: str, dims: dict[str, int] | None = None) -> Table:
