@@ -2,16 +2,19 @@
 
 A text's features are the character n-grams (bytes 3 to 6, A-Z lowered) inside its words, word ends
 marked, hashed into 2**17 rows of an embedding table; unseen misspellings share the rows of the
-n-grams that they keep. The mean of a text's rows, weighted by how unlike their shares in the two classes are, goes through a linear softmax; rows and
-softmax are trained together in numpy by AdaGrad, in one task, on a bounded sample of the labelled
-rows (`per_class` of either class, the smallest by a hash of the id). A two-parameter logistic
-calibration on a part of the sample that training left out, weighted back to the rate of the label
-among all training rows, turns logits into scores. The softmax of a mean is linear in its rows, so
+n-grams that they keep. The mean of a text's rows, weighted by how unlike their shares in the two
+classes are, goes through a linear softmax; rows and softmax are trained together in numpy by AdaGrad,
+in one task, on a bounded sample of the labelled rows (`per_class` of either class, the smallest by a
+hash of the id). Weights are shrunk, not cut, where the evidence is thin: rows of a few texts of one
+class count a little. A fifth of the sample is set apart before weights and training; on it a
+two-parameter logistic calibration, weighted back to the rate of the label among all training rows,
+turns logits into scores. The softmax of a mean is linear in its rows, so
 the trained model folds into two numbers per row, of fixed size (1 MB), and scoring streams over
 the texts with no shuffle.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0. Only the text enters a
-score. Defined cases: null or empty texts get the score of the bias; with no labels, or labels of one
+score. Defined cases: null or empty texts get the score of the bias; very long texts are taken whole, in
+pieces; other columns are ignored; with no labels, or labels of one
 class, every score is the smoothed rate of the label, (ones + 1) / (rows + 2); a null doc_id is held
 out unless labelled (crc32 of null is null: never learnt from); rows that share an id are scored each.
 """
@@ -60,15 +63,18 @@ def counts(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return unique.astype(np.int32), n.astype(np.float32), len(rows)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rate: float, dims: int = 6, epochs: int = 10, rows_a_step: int = 64, lr: float = 0.1, least_z: float = 4.5, seed: int = 7):
+def fit(texts: list[bytes], labels: np.ndarray, rate: float, dims: int = 6, epochs: int = 10, rows_a_step: int = 64, lr: float = 0.1, usual_z: float = 4.5, seed: int = 7):
     """(table, a, b): with v, w the two lines of table, sigmoid(a * sum(v[rows]) / (sum(w[rows]) + SHRINK) + b) is a text's score."""
     y = np.asarray(labels, np.int64)
-    bags = [counts(t) for t in texts]
-    weight = _weights(bags, y, least_z)
-    bags = [((k := weight[r] > 0) is not None and (r[k], (w := (c[k] * weight[r[k]]).astype(np.float32)) / (w.sum() + SHRINK))) for r, c, n in bags]
+    bags = [counts(t)[:2] for t in texts]
     rng = np.random.Generator(np.random.PCG64(seed))
     order = rng.permutation(len(y))
     hold, train = order[: len(y) // 5], order[len(y) // 5 :]
+    weight = _weights([bags[i][0] for i in train], y[train], usual_z)
+    for i, (r, c) in enumerate(bags):  # in place: the sample is held once
+        k = weight[r] > 0
+        w = (c[k] * weight[r[k]]).astype(np.float32)
+        bags[i] = r[k], w / (w.sum() + SHRINK)
     E = rng.normal(0, 0.02, (1 << BITS, dims)).astype(np.float32)
     W, b = rng.normal(0, 0.3, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
     gE, gW, gb = np.full(1 << BITS, 1e-6, np.float32), np.full(W.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -104,16 +110,17 @@ def fit(texts: list[bytes], labels: np.ndarray, rate: float, dims: int = 6, epoc
     return np.stack([table * weight, weight]), a, b
 
 
-def _weights(bags: list, y: np.ndarray, least_z: float) -> np.ndarray:
-    """The weight of each row in a text's mean: how far its texts' shares in the two classes differ, in
-    standard errors beyond `least_z`; rows of fewer than three texts get none."""
+def _weights(bags: list, y: np.ndarray, usual_z: float) -> np.ndarray:
+    """The weight of each row in a text's mean: by how many standard errors z its texts' shares in the two classes
+    differ, shrunk by a logistic curve around `usual_z`; rows of one text, or as common in both, get none."""
     df = np.zeros((2, 1 << BITS), np.int64)
-    for (rows, _, _), c in zip(bags, y):
+    for rows, c in zip(bags, y):
         df[c, rows] += 1
     n0, n1 = max(int((y == 0).sum()), 1), max(int((y == 1).sum()), 1)
     p = (df[0] + df[1]) / (n0 + n1)
     z = np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
-    return np.where(df[0] + df[1] >= 3, np.maximum(z - least_z, 0), 0).astype(np.float32)
+    shrunk = z / (1 + np.exp(-1.5 * (z - usual_z)))
+    return np.where((df[0] + df[1] > 1) & (z > 1.4), shrunk, 0).astype(np.float32)
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:

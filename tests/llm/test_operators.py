@@ -570,3 +570,29 @@ def test_gzip_archives_are_read(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(one(i, x)) for i, x in payloads.items()))
     got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["intact"]) for r in warc.pages_of(spark, str(tmp_path)).collect()}
     assert got == {i: (len(x), warc.sha1_of(x), True) for i, x in payloads.items()}
+
+
+def test_toxicity_learns_nothing_from_what_it_sets_apart(monkeypatch):
+    """Weights are made without the texts that the calibration is for."""
+    seen = []
+    plain = toxicity._weights
+    monkeypatch.setattr(toxicity, "_weights", lambda bags, y, z: seen.append((len(bags), len(y))) or plain(bags, y, z))
+    rng = random.Random(8)
+    texts = [(text_of(rng, 30) + (" rarely said" if i % 2 else "")).encode() for i in range(100)]
+    table, a, b = toxicity.fit(texts, np.arange(100) % 2, 0.5)
+    assert seen == [(80, 80)] and a > 0
+    rows, n, _ = toxicity.counts(b"rarely said")
+    assert a * (table[0][rows] @ n) / (table[1][rows] @ n + toxicity.SHRINK) + b > 0
+
+
+def test_toxicity_of_rare_words_and_long_texts(spark):
+    """A word of four toxic texts among hundreds of others counts; a very long text is scored like a short one of its kind."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(600):
+        word = "glorbish" if i in (11, 13, 17, 22, 31, 37) else "stupid idiot" if i % 5 == 1 else ""
+        docs.append((i, text_of(rng, 40) + " " + word))
+        labels.append((i, int(bool(word))))
+    docs += [(9000, text_of(rng, 40) + " glorbish"), (9001, text_of(rng, 40)), (9002, (text_of(rng, 40) + " stupid idiot ") * 3000), (9003, text_of(rng, 200_000))]
+    got = {r["doc_id"]: r for r in toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[i]["predicted"] for i in (9002, 9003)] == [1, 0] and got[9000]["score"] > 2 * got[9001]["score"]
