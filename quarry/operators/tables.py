@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from quarry.plans.syntax import Col, Conflict
 from quarry.sources.scratch import drop_scratch, materialise, scratch_path
 from quarry.types import Column, coerce, struct_of
 
-LOCAL = 20_000
+LOCAL = 32_768
 MAX_ROWS = 10_000_000
 FOLDERS = 64
 EDITION = "_edition"
@@ -51,7 +52,19 @@ class Table:
         return Scope(list(self.columns)).find(Col((name,)))
 
     def data(self, spark: SparkSession) -> DataFrame:
-        return self.frame if self.frame is not None else spark.createDataFrame(list(self.rows), struct_of(list(self.columns)))
+        """The table's frame; that of rows on the driver is made once a version, by way of Arrow."""
+        if self.frame is not None:
+            return self.frame
+        held = self.__dict__.get("_held")
+        if held is None or held.sparkSession is not spark:
+            held = spark.createDataFrame(self.arrow(), struct_of(list(self.columns)))
+            object.__setattr__(self, "_held", held)
+        return held
+
+    def arrow(self) -> pa.Table:
+        kinds = {"INTEGER": pa.int64(), "DOUBLE": pa.float64(), "TEXT": pa.string(), "BOOLEAN": pa.bool_(), "VECTOR": pa.list_(pa.float32())}
+        columns = list(zip(*self.rows)) if self.rows else [()] * (len(self.columns) + 1)
+        return pa.table([pa.array(x, kinds[c.type.kind]) for x, c in zip(columns, self.columns)] + [pa.array(columns[-1], pa.int64())], [*(c.name for c in self.columns), ROWID])
 
 
 def key(value):
@@ -79,7 +92,7 @@ def write_part(table: Table, df: DataFrame, edition: int) -> str:
     out = df.withColumn(EDITION, F.lit(edition).cast("long")).write
     for name in {*table.looked_up, *(c.name for c in table.columns if c.unique)} & set(df.columns):
         if table.find(name).type.kind not in ("VECTOR", "BOOLEAN"):
-            out = out.option(f"parquet.bloom.filter.enabled#{name}", "true")
+            out = out.option(f"parquet.bloom.filter.enabled#{name}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     out.parquet(path)
     return path
 
