@@ -596,3 +596,44 @@ def test_toxicity_of_rare_words_and_long_texts(spark):
     docs += [(9000, text_of(rng, 40) + " glorbish"), (9001, text_of(rng, 40)), (9002, (text_of(rng, 40) + " stupid idiot ") * 3000), (9003, text_of(rng, 200_000))]
     got = {r["doc_id"]: r for r in toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert [got[i]["predicted"] for i in (9002, 9003)] == [1, 0] and got[9000]["score"] > 2 * got[9001]["score"]
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """Texts longer than any unit or piece that operators cut input into (8 MB), among short ones."""
+    rng = random.Random(12)
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(1 << 20):x}" for _ in range(1_300_000)]
+    long = " ".join(words)
+    assert len(long) > 8 << 20
+    return [(5, long), (6, long + " and a tail of its own"), (7, " ".join(words[200_000:200_040])), (8, "short"), (9, None), (10, "w" * (9 << 20))]
+
+
+def test_long_texts_substring(spark, long_rows):
+    got = substring.remove_repeats(frame(spark, long_rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert as_text(got) == as_text(substring.brute_force(long_rows))
+
+
+def test_long_texts_are_whole(spark, long_rows):
+    words = {i: (t or "").encode().split() for i, t in long_rows}
+    near = {r["doc_id"]: r for r in neardup.near_groups(frame(spark, long_rows)).collect()}
+    assert {i: r["component_id"] for i, r in near.items()} == {5: 5, 6: 5, 7: 7, 8: 8, 9: 9, 10: 10}
+    assert near[6]["n_shingles"] == len({tuple(words[6][i : i + 5]) for i in range(len(words[6]) - 4)})
+    got = exact.exact_groups(frame(spark, [*long_rows, (11, long_rows[0][1])]), memtable_bytes=4 << 20).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(5, 5, 2), (11, 5, 2), *((i, i, 1) for i in range(6, 11))}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sources(frame(spark, long_rows)).collect()} == {i: len(w) for i, w in words.items()}
+    turns = spark.createDataFrame([(1, i, "assistant", t) for i, t in long_rows[:3]], "conv_id long, turn long, role string, text string")
+    assert [(r["n_turns"], r["loss_chars"]) for r in queries.chat_digest(chat.format_conversations(turns)).collect()] == [(3, sum(len(t) for _, t in long_rows[:3]))]
+
+
+def test_near_groups_at_production_limits(spark):
+    """A chained cluster of more than cluster_limit classes, and nodes of more than node_limit by a passage that many share."""
+    rng = random.Random(21)
+    own = lambda k: [f"w{rng.randrange(1 << 40)}" for _ in range(k)]
+    line, passage = own(2600 * 3 + 100), own(34)
+    rows = [(i, " ".join(line[3 * i : 3 * i + 100])) for i in range(2600)]
+    for i in range(650):
+        a = own(66)
+        rows += [(10_000 + 2 * i, " ".join(passage + a)), (10_001 + 2 * i, " ".join(passage + a[:-3] + own(3)))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    wrong = [i for i, c in got.items() if c != (0 if i < 10_000 else i - i % 2)]
+    assert len(got) == len(rows) and len(wrong) <= 0.01 * len(rows), len(wrong)
