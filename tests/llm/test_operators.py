@@ -637,3 +637,19 @@ def test_near_groups_at_production_limits(spark):
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     wrong = [i for i, c in got.items() if c != (0 if i < 10_000 else i - i % 2)]
     assert len(got) == len(rows) and len(wrong) <= 0.01 * len(rows), len(wrong)
+
+
+@pytest.mark.parametrize("template", [chat.CHATML, chat.Template(lambda turns: f"{len(turns)} turns " * (len(turns) > 7) + chat.render_chatml(turns), chat.unescape_text)])
+def test_long_conversations_are_cut(spark, template):
+    """Segments give what one rendering gives, also where history is rewritten; short conversations beside them stay whole."""
+    rng = random.Random(2)
+    rows = [(c, i, rng.choice(["user", "assistant"]), text_of(rng, 3) + "<|x") for c, n in ((1, 23), (2, 4), (None, 13), (3, 5), (4, 6)) for i in range(n)] + [(1, 3, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: r for r in chat.format_conversations(df, template, segment=5).collect()}
+    for conv in (1, 2, 3, 4, None):
+        turns = [(r or "", t or "") for _, r, t in sorted((i, r or "", t or "") for c, i, r, t in rows if c == conv)]
+        out, spans, loss, rewritten = chat.locate(turns, template)
+        g = got[conv]
+        assert (g["formatted"], [tuple(x) for x in g["turns"]], [tuple(x) for x in g["loss"]], g["rewritten"]) == (out, spans, loss, rewritten)
+        assert [template.unescape(out[s:e]) for s, e in loss] == [t for r, t in turns if r == "assistant"]
+    assert chat.locate([("assistant", "a")], chat.Template(lambda turns: "x" * len(turns), str))[2] == []
