@@ -25,6 +25,10 @@ class Limits:
     max_tasks: int = 32
 
 
+class Page(str):
+    """A text that is HTML."""
+
+
 class HttpError(Exception):
     def __init__(self, status: int, code: str, message: str):
         super().__init__(message)
@@ -62,6 +66,8 @@ class Api:
             return 500, {"error": {"code": "internal_error", "message": type(e).__name__}}, {}
 
     def route(self, method: str, path: str, body: bytes, headers: dict):
+        if (method, path) == ("GET", "/"):
+            return Page((Path(__file__).parent / "console.html").read_text())
         if (method, path) == ("GET", "/healthz"):
             return {"status": "ok", "version": VERSION, "storage": "persistent" if self.db.store else "memory", **asdict(self.limits)}
         if (method, path) == ("GET", "/readyz"):
@@ -156,7 +162,8 @@ def serve(api: Api, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPS
             text = value if isinstance(value, str) else json.dumps(value)
             raw = text.encode()
             self.send_response(status)
-            for k, v in {"Content-Type": "text/plain; version=0.0.4" if isinstance(value, str) else "application/json", "Content-Length": str(len(raw)), **extra}.items():
+            kind = "text/html; charset=utf-8" if isinstance(value, Page) else "text/plain; version=0.0.4" if isinstance(value, str) else "application/json"
+            for k, v in {"Content-Type": kind, "Content-Length": str(len(raw)), **extra}.items():
                 self.send_header(k, v)
             self.end_headers()
             self.wfile.write(raw)

@@ -84,9 +84,22 @@ def test_http_over_a_socket(api):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/healthz") as r:
         assert json.load(r)["status"] == "ok"
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/") as r:
+        assert r.headers["Content-Type"].startswith("text/html") and b"/v1/sql" in r.read()
     server.shutdown()
 
 
+def test_parsed_texts_are_remembered_within_bounds():
+    from quarry.plans.syntax import Remembered
+
+    parse = Remembered(texts=3, each=40, total=60)
+    first = parse("SELECT 1")
+    assert parse("SELECT 1") is first and parse("SELECT " + "1" * 18 + " " * 40) is not parse("SELECT " + "1" * 18 + " " * 40)
+    for i in range(9):
+        parse(f"SELECT {i} + 100000000")
+    assert len(parse.held) <= 3 and parse.size == sum(map(len, parse.held)) <= 60 and parse("SELECT 1") is not first
+
+
 def test_shell(spark, tmp_path):
     out = io.StringIO()
     s = Shell(Database(spark), out)
