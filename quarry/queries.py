@@ -244,8 +244,8 @@ def definitions(spark, sf_dir):
     return spark.createDataFrame(shape, "table_name string, column_name string, type string, nullable boolean, is_unique boolean, n long")
 
 
-def _null_vectors(spark, sf_dir):
-    """NULL vectors in rankings: last ascending, first descending, ties in insertion order."""
+def _null_embeddings(spark, sf_dir):
+    """Rankings where some embeddings are NULL: last ascending, first descending, ties in insertion order."""
     db = database(spark, sf_dir)
     db.execute(f"CREATE TABLE nv (id INTEGER, v VECTOR({DIMS}))")
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 400")
@@ -306,7 +306,7 @@ EXTRA_SQL = {
         "(1, 1, 'Aggregate', NULL), (1, 2, 'Having', 'Having: COUNT(*) > 1'), (1, 3, 'Projection', NULL), (1, 4, 'Sort', NULL), (2, 0, 'Source', NULL), (2, 1, 'Projection', NULL))",
     "intent": "SELECT *, 'Rank rows from ''embeddings'' by cosine_distance on ''embedding'' after applying a relational filter; return 3 selected columns, limited to 5 rows' AS summary FROM (VALUES ('vec_id', 'attribute'), ('label', 'attribute'), ('d', 'similarity_score')) AS t(output_name, role)",
     "definitions": "SELECT * FROM (VALUES ('a', 'k', 'INTEGER', false, true, 3::BIGINT), ('a', 'v', 'TEXT', true, false, 3), ('b', 'w', 'TEXT', true, false, 1), ('b', 'u', 'VECTOR(2)', true, false, 1)) AS t(table_name, column_name, type, nullable, is_unique, n)",
-    "null_vectors": "WITH nv AS (SELECT vec_id AS id, CASE WHEN vec_id % 50 = 7 THEN NULL ELSE list_distance(embedding::DOUBLE[], " + QD + ") END AS d FROM embeddings WHERE vec_id < 400) " + " UNION ALL ".join(
+    "null_embeddings": "WITH nv AS (SELECT vec_id AS id, CASE WHEN vec_id % 50 = 7 THEN NULL ELSE list_distance(embedding::DOUBLE[], " + QD + ") END AS d FROM embeddings WHERE vec_id < 400) " + " UNION ALL ".join(
         f"(SELECT '{how}' AS how, id FROM nv ORDER BY d {by}, id LIMIT {n} OFFSET {m})" for how, by, n, m in (("DESC", "DESC NULLS FIRST", 12, 3), ("NULLS FIRST", "NULLS FIRST", 10, 4), ("ASC", "NULLS LAST", 10, 0))),
     "durable_reopen": "WITH n AS (SELECT event_id + (SELECT max(event_id) FROM events) // 2 AS event_id, user_id, 'again' AS event_type, value + 1 AS value FROM events), a AS (SELECT coalesce(e.event_id, n.event_id) AS event_id, CASE WHEN e.event_id IS NULL THEN n.user_id ELSE e.user_id END AS user_id, coalesce(n.event_type, e.event_type) AS event_type, coalesce(n.value, e.value) AS value FROM events e FULL JOIN n USING (event_id)) SELECT * FROM a WHERE user_id IS NULL OR user_id >= 20 UNION ALL SELECT -5, NULL, NULL, NULL",
     "insert_two_keys": """WITH RECURSIVE n AS (SELECT event_id, event_id // 3 AS u, event_id // 2 AS t, row_number() OVER (ORDER BY event_id) AS i FROM events),
@@ -325,7 +325,7 @@ def _events_rounded(spark, sf_dir):
 def queries() -> dict:
     out = {name: _round(_sql(text), *cols) if cols else _sql(text) for name, (text, _, cols) in PLAIN.items()}
     out |= {name: run for name, (run, _) in WRITES.items()}
-    return out | {"agg_events": _events_rounded, "order_nulls": _order_nulls, "null_logic": _null_logic, "search_filters": search_filters, "filtered_topk": filtered_topk, "explain": explain, "intent": intent, "explain_steps": explain_steps, "definitions": definitions, "null_vectors": _null_vectors, "durable_reopen": _durable_reopen, "insert_two_keys": _two_keys}
+    return out | {"agg_events": _events_rounded, "order_nulls": _order_nulls, "null_logic": _null_logic, "search_filters": search_filters, "filtered_topk": filtered_topk, "explain": explain, "intent": intent, "explain_steps": explain_steps, "definitions": definitions, "null_embeddings": _null_embeddings, "durable_reopen": _durable_reopen, "insert_two_keys": _two_keys}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,7 +38,7 @@ def test_ranking_with_filters(db):
     assert rows(db, "SELECT id FROM parcels WHERE (label ILIKE 'BLUE%' OR depot IN ('east', 'west')) AND id NOT BETWEEN 40 AND 45 ORDER BY id DESC LIMIT 3 OFFSET 1") == [(50,), (30,), (10,)]
 
 
-def test_null_vectors_and_ties_are_ranked(db):
+def test_null_embeddings_and_ties_are_ranked(db):
     near = "SELECT id FROM parcels ORDER BY l2_distance(place, [0, 0, 0])"
     assert [r[0] for r in rows(db, near + " LIMIT 9")] == [50, 30, 10, 20, 40, 60]
     assert [r[0] for r in rows(db, near + " DESC LIMIT 4")] == [60, 20, 40, 10]
