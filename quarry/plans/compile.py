@@ -268,8 +268,11 @@ def named(c: Checked, build: Builder) -> list[C]:
     return [build(x.e).cast(x.type.spark).alias(x.label) if x.type else build(x.e).alias(x.label) for x in c.outputs]
 
 
-def to_frame(c: Checked, spark: SparkSession, source: DataFrame | None, rows: int | None = None) -> DataFrame:
-    """The DataFrame of a checked SELECT; `rows` is the number of the source's rows, where it is known."""
+def to_frame(c: Checked, spark: SparkSession, source: DataFrame | None, rows: int | None = None, in_order: bool = False) -> DataFrame:
+    """The DataFrame of a checked SELECT; `rows` is the number of the source's rows, where it is known.
+
+    Rows that no ORDER BY sorts are sorted by insertion where a LIMIT asks for it, or else with `in_order`.
+    """
     df = source if source is not None else spark.range(1).withColumnRenamed("id", ROWID)
     build = Builder(c.scope)
     if c.select.where is not None:
@@ -278,9 +281,9 @@ def to_frame(c: Checked, spark: SparkSession, source: DataFrame | None, rows: in
     if c.aggregate:
         return _aggregated(c, df, build, rowid, rows)
     if c.select.distinct:
-        return _distinct(c, df, build, rowid, rows)
+        return _distinct(c, df, build, rowid, rows, in_order)
     keys = keys_of(c, build)
-    if rowid and (keys or c.limit is not None or c.offset):
+    if rowid and (keys or c.limit is not None or c.offset or in_order):
         keys.append(F.col(ROWID).asc())
     elif TIE in df.columns and keys:
         keys.append(F.col(TIE).asc())
@@ -317,7 +320,7 @@ def _aggregated(c: Checked, df: DataFrame, build: Builder, rowid: bool, rows: in
     return paged(df, c, keys, max(rows, 1) if rows is not None else None).select(*named(c, after))
 
 
-def _distinct(c: Checked, df: DataFrame, build: Builder, rowid: bool, rows: int | None) -> DataFrame:
+def _distinct(c: Checked, df: DataFrame, build: Builder, rowid: bool, rows: int | None, in_order: bool = False) -> DataFrame:
     """The first of equal rows; sorting may use what is not projected."""
     out = named(c, build)
     names = [f"_o{i}" for i in range(len(out))]
@@ -330,7 +333,7 @@ def _distinct(c: Checked, df: DataFrame, build: Builder, rowid: bool, rows: int
         tie = F.col(ROWID) if rowid else F.struct(*(f"_k{i}" for i in range(len(keys))))
         df = df.withColumn("_i", F.row_number().over(Window.partitionBy(*names).orderBy(tie))).filter("_i = 1")
     sort = [scalar.order_key(F.col(f"_k{i}"), bool(o.desc), o.nulls_first) for i, (o, _) in enumerate(keys)]
-    if rowid and (sort or c.limit is not None or c.offset):
+    if rowid and (sort or c.limit is not None or c.offset or in_order):
         sort.append(F.col(ROWID).asc())
     if sort:
         df = df.orderBy(*sort)
