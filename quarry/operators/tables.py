@@ -123,38 +123,40 @@ class Change:
         path = write_part(table, df, table.edition + 1)
         return cls(table, df.sparkSession.read.schema(df.schema).parquet(path), None, path)
 
-    def facts(self) -> dict:
-        """How many rows, how many of them bear ids of before, the largest id; NOT NULL is checked."""
+    def facts(self, unique: list[Column] = ()) -> dict:
+        """How many rows, how many of them bear ids of before, the largest id; NOT NULL is checked, and that no
+        value of the unique columns comes twice (nulls are distinct)."""
         must = [(i, c) for i, c in enumerate(self.table.columns) if not c.nullable and c.name in self.frame.columns]
         old = self.table.next_id
         if self.rows is not None:
             empty = [sum(r[i] is None for r in self.rows) for i, _ in must]
             n, known, top = len(self.rows), sum(r[-1] < old for r in self.rows), max((r[-1] for r in self.rows), default=-1)
+            keys = [[key(r[self.table.columns.index(c)]) for r in self.rows] for c in unique]
+            again = [len(x) - x.count(None) - len(set(x) - {None}) for x in keys]
         else:
-            n, known, top, *empty = self.frame.agg(F.count("*"), F.count_if(F.col(ROWID) < old), F.coalesce(F.max(ROWID), F.lit(-1)), *(F.count_if(named(c).isNull()) for _, c in must)).first()
-        for (_, c), k in zip(must, empty):
-            if k:
-                self.drop()
-                raise E.NullViolation(c.name)
+            n, known, top, *more = self.frame.agg(
+                F.count("*"), F.count_if(F.col(ROWID) < old), F.coalesce(F.max(ROWID), F.lit(-1)), *(F.count_if(named(c).isNull()) for _, c in must), *(F.count(named(c)) - F.count_distinct(named(c)) for c in unique),
+            ).first()
+            empty, again = more[: len(must)], more[len(must) :]
+        for kind, found in ((E.NullViolation, [(c, k) for (_, c), k in zip(must, empty)]), (E.UniqueViolation, zip(unique, again))):
+            for c, k in found:
+                if k:
+                    self.drop()
+                    raise kind(c.name)
         return {"n": n, "old": known, "top": top}
 
     def drop(self) -> None:
         if self.path:
             drop_scratch(self.frame.sparkSession, self.path)
 
-    def check_unique(self, columns: list[Column], others: list | DataFrame | None) -> None:
-        """No value of these columns twice, neither in the change nor in the rows that it leaves as they are; nulls are distinct."""
+    def check_unique(self, columns: list[Column], others: list | DataFrame) -> None:
+        """No value of these columns is in the rows that the change leaves as they are."""
         for c in columns:
             if self.rows is not None and isinstance(others, list):
                 i = self.table.columns.index(c)
-                keys = [key(r[i]) for r in [*others, *self.rows] if r[i] is not None]
-                twice = len(keys) != len(set(keys))
-            else:
-                keys = self.frame.filter(named(c).isNotNull()).groupBy(named(c).alias("_k")).agg(F.count("*").alias("n"))
-                bad = keys.filter("n > 1").select("_k")
-                if others is not None:
-                    bad = bad.union(keys.join(others.select(named(c).alias("_o")), F.col("_k") == F.col("_o"), "left_semi").select("_k"))
-                twice = bad.limit(1).count()
+                twice = {key(r[i]) for r in others if r[i] is not None} & {key(r[i]) for r in self.rows}
+            else:  # a change that is small goes to the rows, wherever they are
+                twice = not others.select(named(c).alias("_o")).join(self.frame.select(named(c).alias("_k")), F.col("_o") == F.col("_k"), "left_semi").isEmpty()
             if twice:
                 self.drop()
                 raise E.UniqueViolation(c.name)
@@ -253,11 +255,13 @@ def insert(table: Table, rows, conflict: Conflict | None, spark: SparkSession, o
         batch = _without_conflicts(table, batch, [target] if target else [c for c in table.columns if c.unique], spark, scratch)
     change = Change.of(table, _numbered(batch, table), False)
     drop_scratch(spark, *scratch)
-    facts = change.facts()
+    unique = [c for c in table.columns if c.unique and not (conflict and target in (None, c))]
+    facts = change.facts(unique)
     if not facts["n"]:
         change.drop()
         return table, 0
-    change.check_unique([c for c in table.columns if c.unique and not (conflict and target in (None, c))], table.data(spark) if table.count else None)
+    if table.count:
+        change.check_unique(unique, table.data(spark))
     return settled(table, change, facts, spark, "rows"), facts["n"]
 
 
@@ -313,7 +317,7 @@ def _without_conflicts(table: Table, batch: DataFrame, columns: list[Column], sp
         left = left.join(accepted.select("_ord"), "_ord", "left_anti")
         for k in keys:
             left = left.join(accepted.select(F.col(k).alias("_o")), F.col(k) == F.col("_o"), "left_anti")
-        if not left.limit(1).count():
+        if left.isEmpty():
             return batch.join(reduce(DataFrame.union, rounds), "_ord", "left_semi")
 
 
@@ -330,7 +334,7 @@ def _upsert(table: Table, rows, target: Column, conflict: Conflict, spark: Spark
     k = f"`{target.name}`"
     i = table.columns.index(target)
     given = [key(r[i]) for r in rows if r[i] is not None] if not isinstance(rows, DataFrame) else None
-    if len(set(given)) != len(given) if given is not None else batch.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1").limit(1).count():
+    if len(set(given)) != len(given) if given is not None else not batch.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1").isEmpty():
         raise E.InvalidQuery("ON CONFLICT DO UPDATE cannot affect a row a second time")
     both = table.data(spark).alias("t").join(batch.alias("i"), F.col(f"t.{k}") == F.col(f"i.{k}"))
     hit = F.coalesce(build.predicate(conflict.where), F.lit(False)) if conflict.where is not None else F.lit(True)
@@ -342,24 +346,25 @@ def _upsert(table: Table, rows, target: Column, conflict: Conflict, spark: Spark
     new = _numbered(batch.join(matched.select("_ord"), "_ord", "left_anti"), table) if table.count else _numbered(batch, table)
     change = Change.of(table, matched.filter("_hit").drop("_hit", "_ord").unionByName(new), small)
     drop_scratch(spark, *scratch)
-    facts = change.facts()
+    unique = [c for c in table.columns if c.unique]
+    facts = change.facts(unique)
     if not facts["n"]:
         change.drop()
         return table, 0
-    _check_replaced(table, change, [c for c in table.columns if c.unique], spark)
+    _check_replaced(table, change, unique, spark)
     return settled(table, change, facts, spark, "both"), facts["n"]
 
 
 def _check_replaced(table: Table, change: Change, columns: list[Column], spark: SparkSession) -> None:
     """Uniqueness of a change against the rows whose ids it does not bear."""
-    if not columns:
+    if not columns or not table.count:
         return
     if table.frame is None and change.rows is not None:
         ids = {r[-1] for r in change.rows}
         change.check_unique(columns, [r for r in table.rows if r[-1] not in ids])
     else:
         others = table.data(spark).join(change.frame.select(F.col(ROWID).alias("_gone")), F.col(ROWID) == F.col("_gone"), "left_anti")
-        change.check_unique(columns, others if table.count else None)
+        change.check_unique(columns, others)
 
 
 def assignments(table: Table, pairs, build: Builder) -> dict:
@@ -388,11 +393,12 @@ def update(table: Table, pairs, where, spark: SparkSession) -> tuple[Table, int]
         data = data.filter(build.predicate(where))
     cols = [sets[c.name].alias(c.name) if c.name in sets else named(c) for c in table.columns]
     change = Change.of(table, data.select(*cols, ROWID), table.frame is None)
-    facts = change.facts()
+    unique = [c for c in table.columns if c.unique and c.name in sets]
+    facts = change.facts(unique)
     if not facts["n"]:
         change.drop()
         return table, 0
-    _check_replaced(table, change, [c for c in table.columns if c.unique and c.name in sets], spark)
+    _check_replaced(table, change, unique, spark)
     return settled(table, change, facts, spark, "both"), facts["n"]
 
 
