@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_ID, batched, materialise, rid, scratch_path, units
+from quarry.llm.common import MAX_ID, batched, drop_scratch, materialise, rid, scratch_path, units
 
 MAGIC = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -165,16 +165,16 @@ def _walk(it):
         yield b.drop_columns(["entry"]).append_column("on", pa.array(keep, pa.bool_()))
 
 
-def _reachable(cand: DataFrame) -> DataFrame:
+def _reachable(cand: DataFrame, paths: list[str]) -> DataFrame:
     """The candidates (file, offset, next, exit, ...) with `on`: whether a chain from the file's start leads there."""
     spark = cand.sparkSession
     jump = cand.filter("next is not null").select("file", "offset", F.col("exit").alias("to"))
     reach = cand.filter("offset = 0").select("file", "offset").distinct()
     blocks = cand.groupBy("file").agg(F.count_distinct("block").alias("n")).agg(F.max("n")).first()[0] or 1
     for _ in range(math.ceil(math.log2(blocks)) if blocks > 1 else 0):
-        reach = materialise(reach.union(reach.join(jump, ["file", "offset"]).select("file", F.col("to").alias("offset"))).distinct(), "reach")
+        reach = materialise(reach.union(reach.join(jump, ["file", "offset"]).select("file", F.col("to").alias("offset"))).distinct(), "reach", paths)
         after = jump.select("file", F.col("offset").alias("to"), F.col("to").alias("to2"))
-        jump = materialise(jump.join(after, ["file", "to"]).select("file", "offset", F.col("to2").alias("to")), "jump")
+        jump = materialise(jump.join(after, ["file", "to"]).select("file", "offset", F.col("to2").alias("to")), "jump", paths)
     entries = cand.join(reach, ["file", "offset"], "left_semi").groupBy("file", "block").agg(F.min("offset").alias("entry"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cand.join(entries, ["file", "block"], "left").repartition(n, "file", "block").sortWithinPartitions("file", "block", "offset")
@@ -195,16 +195,21 @@ def _joined(pdf):
     return pd.DataFrame({"file": [pdf["file"].iloc[0]], "offset": [int(pdf["record"].iloc[0])], "bytes2": pd.array([size], "Int64"), "sha2": [sha1]})
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, kind, id, digest (as its header has it), refers, bytes and sha1 (of the payload as read; null if torn) of every record on a chain."""
+def read(spark: SparkSession, path: str, paths: list[str] | None = None) -> DataFrame:
+    """file, offset, kind, id, digest (as its header has it), refers, bytes and sha1 (of the payload as read; null if torn) of every record on a chain.
+
+    The scratch tables under the result are added to paths.
+    """
+    paths, early = [] if paths is None else paths, []
     raw = _pieces(spark, path).mapInArrow(_candidates, "file string, block long, rel long, next long, exit long, size long, kind string, id string, digest string, refers string, bytes long, sha1 string")
-    raw = materialise(raw, "candidates")
+    raw = materialise(raw, "candidates", early)
     base = raw.groupBy("file", "block").agg(F.sum("size").alias("s"))
     base = base.withColumn("base", F.sum("s").over(W.partitionBy("file").orderBy("block")) - F.col("s")).select("file", "block", "base")
     shift = F.col("base") + F.when(F.col("block") == 0, 0).otherwise(len(MAGIC))  # a later split's rel starts before its first byte
     cand = raw.join(base, ["file", "block"]).withColumn("offset", F.col("rel") + shift)
     cand = cand.select("file", "block", "rel", "offset", (F.col("next") + shift).alias("next"), (F.col("exit") + shift).alias("exit"), "kind", "id", "digest", "refers", "bytes", "sha1")
-    cand = materialise(_reachable(materialise(cand, "offsets")), "chains")
+    cand = materialise(_reachable(materialise(cand, "offsets", early), early), "chains", paths)
+    drop_scratch(spark, early)
     records = cand.filter("`on`").select("file", "offset", "kind", "id", "digest", "refers", "bytes", "sha1")
     if not records.filter("sha1 is null").limit(1).count():
         return records
@@ -239,7 +244,9 @@ def pages_of(spark: SparkSession, path: str) -> DataFrame:
     or, for a revisit, where no response answers to its reference; intact tells if the digest is the header's.
     """
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
-    records = materialise(read(spark, path).select(number("id").alias("page_id"), "kind", F.substring("digest", 6, 32).alias("digest"), F.when(F.col("refers").isNotNull(), number("refers")).alias("to"), "bytes", "sha1"), "records")
+    paths: list[str] = []
+    records = materialise(read(spark, path, paths).select(number("id").alias("page_id"), "kind", F.substring("digest", 6, 32).alias("digest"), F.when(F.col("refers").isNotNull(), number("refers")).alias("to"), "bytes", "sha1"), "records")
+    drop_scratch(spark, paths)
     first = records.filter("kind = 'response'").groupBy(F.col("page_id").alias("to"), F.col("digest")).agg(F.first("bytes").alias("full"), F.first("sha1").alias("of"))
     revisits = records.filter("kind = 'revisit'").join(first, ["to", "digest"], "left")
     cols = lambda size, sha, to: ["page_id", F.col(size).alias("payload_bytes"), F.col(sha).alias("payload_digest"), F.col("kind").alias("record_type"), to.alias("refers_to"), F.coalesce(F.col(sha) == F.col("digest"), F.lit(False)).alias("intact")]
