@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import types as T
 
 from quarry import errors as E
@@ -100,6 +101,10 @@ def type_of(value) -> Type:
 def check_vector(value) -> None:
     import struct
 
+    if set(map(type, value)) == {float}:  # at once; what is wrong is found one by one
+        with np.errstate(over="ignore"):
+            if np.isfinite(np.array(value).astype(np.float32)).all():
+                return
     for i, x in enumerate(value):
         if isinstance(x, bool) or not isinstance(x, (int, float)) and not hasattr(x, "item"):
             raise E.TypeMismatch("numeric vector element", "NULL" if x is None else type(x).__name__)
