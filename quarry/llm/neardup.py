@@ -342,11 +342,30 @@ def _pieces(count: str, total: str, most: int, set_limit: int):
     return F.when((F.col(count) <= most) & (F.col(total) <= set_limit), 1).otherwise(F.greatest(F.ceil(F.col(count) * 2 / most), F.ceil(F.col(total) * 2 / set_limit))).cast("long")
 
 
+FILTER_BITS = 1 << 30  # at most, 128 MB: the bound of what is broadcast
+SLICE = 1 << 15  # bits of one bitmap
+
+
+def _only(docs: DataFrame, reps: DataFrame, most: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs (rid, text) that may be of `reps` (rep), by bitmaps over hashed ids: about 16 bits a rep, which let
+    1 in 16 others through. Beyond `most` bits they let more through; the join that follows makes it exact either way."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(most, SLICE * (1 + 16 * reps.count() // SLICE))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    number = lambda x: F.shiftright(x, SLICE.bit_length() - 1)
+    at = reps.select(number(slot("rep")).alias("slice"), slot("rep").bitwiseAND(SLICE - 1).alias("at")).repartition(n, "slice")
+    maps = F.broadcast(at.groupBy("slice").agg(F.bitmap_construct_agg("at").alias("bits")))
+    x = slot("rid").bitwiseAND(SLICE - 1)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(x, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return docs.join(maps, number(slot("rid")) == F.col("slice")).filter(F.getbit(byte, x.bitwiseAND(7).cast("int")) == 1).select("rid", "text")
+
+
 def confirmed_links(members: DataFrame, docs: DataFrame, num: int, den: int, cluster_limit: int = 2048, set_limit: int = 1 << 22) -> DataFrame:
     """Spanning links (a, b) within the clusters of members (cls, rep, n, label); docs has rid, text."""
     spark = members.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("cls").alias("pivot"))
+    docs = _only(docs, members.select("rep"))
     members = members.join(sizes, "label").withColumn("blocks", _pieces("c", "total", cluster_limit, set_limit))
     big = members.filter("blocks > 1").limit(1).count() > 0
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
@@ -358,7 +377,7 @@ def confirmed_links(members: DataFrame, docs: DataFrame, num: int, den: int, clu
         rows = rows.unionByName(pivots.select(*sent(1, F.lit(True), "k")))
 
     def checked(rows):
-        # neither side has a bounded size: both are sorted, at every size, and never broadcast
+        # neither side has a bounded size: both are sorted, at every size, and never broadcast; of the texts only those of members move
         texts = docs.join(rows.hint("merge"), docs["rid"] == rows["rep"]).select("key", "cls", "role", "text", "large")
         return texts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_confirm(num, den), "a binary, b binary")
 

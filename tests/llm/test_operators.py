@@ -379,6 +379,17 @@ def test_large_nodes_are_compared_whole(spark):
     assert [(i, j) for i, j in want if f.find(i) != f.find(j)] == []
 
 
+@pytest.mark.parametrize("most", [neardup.FILTER_BITS, 1 << 15])
+def test_texts_of_members_are_let_through(spark, most):
+    docs = spark.range(0, 40_000).selectExpr("id as rid", "cast(cast(id as string) as binary) as text")
+    for step in (2, 97, 50_000):
+        reps = docs.filter(f"rid % {step} = 1").selectExpr("rid as rep")
+        got = {r["rid"] for r in neardup._only(docs, reps, most).select("rid").collect()}
+        want = set(range(1, 40_000, step))
+        assert want <= got and (most == 1 << 15 or len(got - want) < 4000)
+    assert neardup._only(docs, docs.filter("rid < 0").selectExpr("rid as rep")).count() == 0
+
+
 def test_near_groups_empty(spark):
     assert neardup.near_groups(frame(spark, [])).collect() == []
     assert neardup.keep_first(frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, None)])).count() == 2
