@@ -15,17 +15,17 @@ def components(edges: DataFrame) -> DataFrame:
     every node's smaller neighbours and itself with the smallest of these (small star), until every
     component is one star; the number of rounds grows with the square of the logarithm of the nodes at
     most. Nothing is collected, and what a round has read is deleted. A hub's minimum is pre-aggregated
-    map-side; where its edges meet that minimum, AQE may split them.
+    map-side and written: AQE splits the hub's edges where they meet it, as it would not beside an aggregate.
     """
     spark, old = edges.sparkSession, []
     rest = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", old)
     while not _stars(rest):
         new = []
         both = rest.select(F.col("a").alias("node"), F.col("b").alias("to")).union(rest.select("b", "a"))
-        least = both.groupBy("node").agg(F.least("node", F.min("to")).alias("a"))
+        least = materialise(both.groupBy("node").agg(F.least("node", F.min("to")).alias("a")), "least", old)
         large = both.join(least, "node").filter("to > node").select("a", F.col("to").alias("b"))
         large = materialise(large.distinct(), "large", old)
-        least = large.groupBy("b").agg(F.min("a").alias("least"))
+        least = materialise(large.groupBy("b").agg(F.min("a").alias("least")), "least", old)
         small = large.join(least, "b")
         small = small.select(F.col("least").alias("a"), "b").union(small.filter("a <> least").select("least", "a"))
         rest = materialise(small.distinct(), "edges", new)

@@ -242,7 +242,7 @@ def _grouped(rows: DataFrame, run, schema: str) -> DataFrame:
 
 def _whole(rest: DataFrame, size: int, paths: list[str]) -> DataFrame:
     """Spanning candidate edges of nodes of any size (path, cls, sketch): every pair of a node is compared, by blocks of about `size`."""
-    counts = rest.groupBy("path").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    counts = materialise(rest.groupBy("path").agg(F.ceil(F.count("*") / size).alias("blocks")), "counts", paths)
     rows = rest.join(counts, "path").withColumn("block", F.pmod(F.xxhash64("path", "cls"), F.col("blocks")))
     rows = rows.withColumn("key", F.xxhash64("path", "block")).select("key", "path", "block", "blocks", "cls", "sketch")
     found = materialise(_grouped(rows, _compare_blocks, "a binary, b binary, path long, block long, blocks long, sketch binary"), "blocks", paths)
@@ -268,7 +268,8 @@ def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024,
     nodes = classes.select("cls", "sig").mapInArrow(_roots(trees), NODE)
     edges = None
     for level in range(depth + 1):
-        counts = nodes.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1")
+        # written before it is joined: AQE splits hot paths only where neither side is an aggregate of the same stage
+        counts = materialise(nodes.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), f"counts{level}", paths)
         nodes = nodes.join(counts, "path")
         nodes = materialise(nodes, f"nodes{level}", paths)
         small = nodes.filter(F.col("c") <= node_limit).select(F.col("path").alias("key"), "cls", "sketch")
@@ -278,7 +279,7 @@ def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024,
         if not large.limit(1).count():
             return edges
         lead = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "cls").alias("h"), "cls", "sketch")).alias("m"))
-        lead = lead.select("path", F.col("m.cls").alias("lead"), F.col("m.sketch").alias("lead_sketch"))
+        lead = materialise(lead.select("path", F.col("m.cls").alias("lead"), F.col("m.sketch").alias("lead_sketch")), f"lead{level}", paths)
         near = large.join(lead, "path").mapInArrow(_near_leader, NODE + ", lead binary, lead_sketch binary, same int")
         near = materialise(near, f"near{level}", paths)
         edges = edges.union(near.filter((F.col("same") >= LIKELY) & (F.col("cls") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct())
@@ -364,7 +365,7 @@ def confirmed_links(members: DataFrame, docs: DataFrame, num: int, den: int, clu
     """Spanning links (a, b) within the clusters of members (cls, rep, n, label); docs has rid, text."""
     spark = members.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("cls").alias("pivot"))
+    sizes = materialise(members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("cls").alias("pivot")), "clusters")
     docs = _only(docs, members.select("rep"))
     members = members.join(sizes, "label").withColumn("blocks", _pieces("c", "total", cluster_limit, set_limit))
     big = members.filter("blocks > 1").limit(1).count() > 0
@@ -410,7 +411,7 @@ def near_groups(docs: DataFrame, num: int = 75, den: int = 100, cluster_limit: i
     links = confirmed_links(members, base.select("rid", "text"), num, den, cluster_limit, set_limit)
     labels = components(links.select("a", "b"))
     reps = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    least = reps.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
+    least = materialise(reps.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least")), "least")
     reps = reps.join(least, "label", "left").select("cls", F.coalesce("least", "rep").alias("component"))
     out = signed.select("doc_id", "rid", "n", "cls").join(reps, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("rid"))
