@@ -2,23 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import drop_scratch, materialise
 
+FOREST = 1 << 18  # edges that one task joins by itself
+
+
+class Forest:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _stars_of(batches: list, centres: bool):
+    """The edges of some batches as stars: every node with the smallest of its component, that one itself only with `centres`."""
+    a, b = (pa.chunked_array([x.column(c) for x in batches]).combine_chunks() for c in ("a", "b"))
+    both = pa.concat_arrays([a, b]).dictionary_encode()
+    order = pc.sort_indices(both.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    ends = rank[both.indices.to_numpy()]
+    f = Forest(len(order))
+    for x, y in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist()):
+        f.join(x, y)
+    root = np.array([f.find(x) for x in range(len(order))], np.int64)
+    leaf = np.arange(len(order)) if centres else np.flatnonzero(root != np.arange(len(order)))
+    nodes = both.dictionary.take(order)
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(root[leaf])), nodes.take(pa.array(leaf))], ["a", "b"])
+
+
+def _local(centres: bool):
+    def run(it):
+        held, n = [], 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n >= FOREST:
+                yield _stars_of(held, centres)
+                held, n = [], 0
+        if held:
+            yield _stars_of(held, centres)
+
+    return run
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of edges (a, b): the label is the smallest node of the component.
 
-    Each round joins every node's larger neighbours with the smallest node around it (large star), then
+    Tasks of up to FOREST edges first make stars of what they hold; what fits one task is done then. Else
+    each round joins every node's larger neighbours with the smallest node around it (large star), then
     every node's smaller neighbours and itself with the smallest of these (small star), until every
     component is one star; the number of rounds grows with the square of the logarithm of the nodes at
     most. Nothing is collected, and what a round has read is deleted. A hub's minimum is pre-aggregated
     map-side and written: AQE splits the hub's edges where they meet it, as it would not beside an aggregate.
     """
     spark, old = edges.sparkSession, []
-    rest = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", old)
+    rest = materialise(edges.filter("a <> b").select("a", "b"), "edges", old)
+    tasks = -(-rest.count() // (FOREST // 2))  # files are not of one size
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema)
+    rest = rest.coalesce(max(1, tasks)).mapInArrow(_local(tasks <= 1), kind)
+    if tasks <= 1:  # all in one piece
+        out = materialise(rest.select(F.col("b").alias("node"), F.col("a").alias("label")), "labels")
+        drop_scratch(spark, old)
+        return out
+    new = []
+    rest = materialise(rest.distinct(), "edges", new)
+    drop_scratch(spark, old)
+    old = new
     while not _stars(rest):
         new = []
         both = rest.select(F.col("a").alias("node"), F.col("b").alias("to")).union(rest.select("b", "a"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import MAX_ID, batched, drop_scratch, grams, join_texts, materialise, mix, rid, text_bytes, units, whole_row, words_of
-from quarry.llm.graph import components
+from quarry.llm.graph import Forest, components
 
 POSITIONS = 32
 WIDTH = 5
@@ -62,9 +62,19 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set, none of them empty, the token (a shingle hash) that is smallest under each of the 32 orders."""
+    out = np.empty((len(sets), POSITIONS), np.uint64)
+    if sets:
+        size = np.array([len(x) for x in sets])
+        x, at = np.concatenate(sets), np.cumsum(size) - size
+        for i in range(POSITIONS):
+            out[:, i] = np.minimum.reduceat((x ^ XOR[i]) * MUL[i], at)
+    return out * INV ^ XOR
+
+
 def signature(x: np.ndarray) -> np.ndarray:
-    """The token (a shingle hash) that is smallest under each of the 32 orders."""
-    return np.array([((x ^ XOR[i]) * MUL[i]).min() for i in range(POSITIONS)], np.uint64) * INV ^ XOR
+    return signatures([x])[0]
 
 
 def sketch(sig: np.ndarray) -> bytes:
@@ -78,7 +88,8 @@ def digest(x: np.ndarray) -> bytes:
 def _sign(it):
     for b in units(it, "text", 1 << 20):
         sets = shingle_sets(b.column("text").to_pylist())
-        sig = [signature(x).tobytes() if len(x) else None for x in sets]
+        made = iter(signatures([x for x in sets if len(x)]))
+        sig = [next(made).tobytes() if len(x) else None for x in sets]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("rid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array(sig, pa.binary())],
             ["doc_id", "rid", "n", "cls", "sig"],
@@ -126,25 +137,15 @@ def _branch(width: int):
     return run
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+def _equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 32 bytes of each row are equal: eight flags are added at a time."""
+    eights = np.ascontiguousarray(x == y).view(np.uint64).reshape(-1, POSITIONS // 8)
+    total = eights[:, 0] + eights[:, 1] + eights[:, 2] + eights[:, 3]
+    return (total * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
 
 
 def _alike(sk: np.ndarray, i: int) -> np.ndarray:
-    return (sk[i + 1 :] == sk[i]).sum(1)
+    return _equal_bytes(sk[i + 1 :], sk[i])
 
 
 def _node_edges(cls: list[bytes], sk: list[bytes]):
@@ -227,7 +228,7 @@ def _compare_pairs(it):
         for i in np.flatnonzero(one).tolist():
             if apart == 1:
                 break
-            at = np.flatnonzero((m2 == m[i]).sum(1) >= LIKELY)
+            at = np.flatnonzero(_equal_bytes(m2, m[i]) >= LIKELY)
             for j in at[np.unique(head2[at], return_index=True)[1]].tolist():
                 if f.join(int(head[i]), int(head2[j])):
                     edges.append((rows[i][1], rows[int(other[j])][1]))
@@ -259,34 +260,50 @@ def _whole(rest: DataFrame, size: int, paths: list[str]) -> DataFrame:
 def _near_leader(it):
     for b in it:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("sketch", "lead_sketch"))
-        yield b.append_column("same", pa.array((x == y).sum(1), pa.int32()))
+        yield b.append_column("same", pa.array(_equal_bytes(x, y), pa.int32()))
 
 
 def candidate_edges(classes: DataFrame, trees: int = 12, node_limit: int = 1024, depth: int = 3, width: int = 2, paths: list[str] | None = None) -> DataFrame:
     """Spanning candidate edges (a, b) of all tree nodes; classes has cls, sig. The scratch tables under the result are added to paths."""
     paths = [] if paths is None else paths
     nodes = classes.select("cls", "sig").mapInArrow(_roots(trees), NODE)
-    edges = None
+    edges = small = whole = None
     for level in range(depth + 1):
-        # written before it is joined: AQE splits hot paths only where neither side is an aggregate of the same stage
+        # written before it is joined: AQE splits hot paths only where neither side is an aggregate of the same stage; sorted at
+        # every size, as a written side that is broadcast up to some size only makes the work on small tables say nothing of large ones
         counts = materialise(nodes.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), f"counts{level}", paths)
-        nodes = nodes.join(counts, "path")
-        nodes = materialise(nodes, f"nodes{level}", paths)
-        small = nodes.filter(F.col("c") <= node_limit).select(F.col("path").alias("key"), "cls", "sketch")
-        small = _grouped(small, _compare_nodes, "a binary, b binary").distinct()
-        edges = small if edges is None else edges.union(small)
+        nodes = materialise(nodes.join(counts.hint("merge"), "path"), f"nodes{level}", paths)
+        of_level = nodes.filter(F.col("c") <= node_limit).select(F.col("path").alias("key"), "cls", "sketch")
+        small = of_level if small is None else small.union(of_level)  # a path is a node of one level
         large = nodes.filter(F.col("c") > node_limit).drop("c")
         if not large.limit(1).count():
-            return edges
+            break
         lead = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "cls").alias("h"), "cls", "sketch")).alias("m"))
         lead = materialise(lead.select("path", F.col("m.cls").alias("lead"), F.col("m.sketch").alias("lead_sketch")), f"lead{level}", paths)
         near = large.join(lead, "path").mapInArrow(_near_leader, NODE + ", lead binary, lead_sketch binary, same int")
         near = materialise(near, f"near{level}", paths)
-        edges = edges.union(near.filter((F.col("same") >= LIKELY) & (F.col("cls") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct())
+        led = near.filter((F.col("same") >= LIKELY) & (F.col("cls") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
+        edges = led if edges is None else edges.union(led)
         rest = near.filter((F.col("same") < CLOSE) | (F.col("cls") == F.col("lead"))).select("path", "taken", "cls", "sketch")
         if level < depth:
-            nodes = rest.join(classes.select("cls", "sig"), "cls").select("path", "taken", "cls", "sketch", "sig").mapInArrow(_branch(width), NODE)
-    return edges.union(_whole(rest.select("path", "cls", "sketch"), 4 * node_limit, paths).distinct())
+            nodes = rest.join(classes.select("cls", "sig").hint("merge"), "cls").select("path", "taken", "cls", "sketch", "sig").mapInArrow(_branch(width), NODE)
+            nodes = materialise(nodes, f"branches{level}", paths)
+        else:
+            whole = _whole(rest.select("path", "cls", "sketch"), 4 * node_limit, paths)
+    found = _grouped(small, _compare_nodes, "a binary, b binary")
+    for more in (edges, whole):
+        found = found if more is None else found.union(more)
+    return found
+
+SLOTS = 1 << 20  # of hashes, by their lowest bits
+
+
+def _marked(mark: np.ndarray, slots: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many slots of each of some sets, none of them empty, are marked."""
+    if not len(start):
+        return np.empty(0, np.int64)
+    first = np.cumsum(size) - size
+    return np.add.reduceat(mark[slots[np.repeat(start - first, size) + np.arange(int(size.sum()))]], first, dtype=np.int64)
 
 
 def _links(sets: list[np.ndarray], sk: np.ndarray, num: int, den: int, fresh: np.ndarray | None = None, f: Forest | None = None):
@@ -294,16 +311,28 @@ def _links(sets: list[np.ndarray], sk: np.ndarray, num: int, den: int, fresh: np
     n = len(sets)
     size = np.array([len(x) for x in sets])
     f = f or Forest(n)
+    start = np.cumsum(size) - size
+    slots = np.concatenate(sets).astype(np.uint32) & np.uint32(SLOTS - 1) if n else None
+    mark = np.zeros(SLOTS, bool)
     for i in range(n - 1):
         m = (_alike(sk, i) >= POSSIBLE) & (np.minimum(size[i], size[i + 1 :]) * den >= np.maximum(size[i], size[i + 1 :]) * num)
         if fresh is not None and not fresh[i]:
             m &= fresh[i + 1 :]
-        for j in (np.flatnonzero(m) + i + 1).tolist():
+        at = np.flatnonzero(m) + i + 1
+        if len(at) > 4:  # no intersection is larger than the number of a set's slots that the other has too
+            own = f.find(i)
+            at = np.array([j for j in at.tolist() if f.find(j) != own], np.int64)
+            mark[slots[start[i] : start[i] + size[i]]] = True
+            most = [_marked(mark, slots, start[x], size[x]) for x in np.array_split(at, 1 + int(size[at].sum()) // SLOTS)]
+            mark[slots[start[i] : start[i] + size[i]]] = False
+            most = np.concatenate(most)
+            at = at[most * den >= num * (size[i] + size[at] - most)]
+        for j in at.tolist():
             if f.find(i) == f.find(j):
                 continue
             a, b = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+            on = np.searchsorted(b, a)
+            both = int((b[np.minimum(on, len(b) - 1)] == a).sum())
             if both * den >= num * (size[i] + size[j] - both) and f.join(i, j):
                 yield i, j
 
@@ -316,14 +345,16 @@ def _confirm(num: int, den: int):
             rows.sort(key=lambda r: (r[0], -r[1]))
             rows = [r for i, r in enumerate(rows) if i == 0 or rows[i - 1][0] != r[0]]
             cls, role = [r[0] for r in rows], np.array([r[1] for r in rows])
-            sets = []
+            sets, sk, ok = [], [], []
             for lo in range(0, len(rows), 256):
-                sets += shingle_sets([r[2] for r in rows[lo : lo + 256]])
-            ok = [i for i, x in enumerate(sets) if len(x) and digest(x) == cls[i]]  # rows may share an id
-            cls, sets, role, large = [cls[i] for i in ok], [sets[i] for i in ok], role[ok], rows[0][3]
+                made = shingle_sets([r[2] for r in rows[lo : lo + 256]])
+                at = [i for i, x in enumerate(made) if len(x) and digest(x) == cls[lo + i]]  # rows may share an id
+                ok += [lo + i for i in at]
+                sets += [made[i] for i in at]
+                sk.append(mix(signatures([made[i] for i in at])).astype(np.uint8))
+            cls, sk, role, large = [cls[i] for i in ok], np.concatenate(sk), role[ok], rows[0][3]
             if len(cls) < 2:
                 continue
-            sk = np.frombuffer(b"".join(sketch(signature(x)) for x in sets), np.uint8).reshape(len(sets), -1)
             order = np.argsort(role != 1, kind="stable")  # the pivot first: it joins most
             cls, sets, sk, role = [cls[i] for i in order], [sets[i] for i in order], sk[order], role[order]
             f = Forest(len(cls))

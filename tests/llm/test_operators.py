@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact, mixing, neardup, pieces, queries, secrets, substring, toxicity, warc, winnow
+from quarry.llm import chat, exact, graph, mixing, neardup, pieces, queries, secrets, substring, toxicity, warc, winnow
 from quarry.llm.common import MAX_ID
 from quarry.llm.graph import components
 
@@ -664,3 +664,36 @@ def test_long_conversations_are_cut(spark, template):
         assert (g["formatted"], [tuple(x) for x in g["turns"]], [tuple(x) for x in g["loss"]], g["rewritten"]) == (out, spans, loss, rewritten)
         assert [template.unescape(out[s:e]) for s, e in loss] == [t for r, t in turns if r == "assistant"]
     assert chat.locate([("assistant", "a")], chat.Template(lambda turns: "x" * len(turns), str))[2] == []
+
+
+@pytest.mark.parametrize(("forest", "most"), [(graph.FOREST, 2), (512, 100)])
+def test_components_of_a_chain_take_few_tables(spark, monkeypatch, forest, most):
+    made = []
+    write = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name, *paths: made.append(name) or write(df, name, *paths))
+    monkeypatch.setattr(graph, "FOREST", forest)
+    edges = [(i, i + 1) for i in range(1500)] + [(i + 1, i) for i in range(2000, 2100)] + [(7, 7)]
+    random.Random(5).shuffle(edges)
+    frame = spark.createDataFrame([(f"{a:04}".encode(), f"{b:04}".encode()) for a, b in edges], "a binary, b binary").repartition(4)
+    got = sorted((int(r["node"]), int(r["label"])) for r in components(frame).collect())
+    assert got == [(i, 0) for i in range(1501)] + [(i, 2000) for i in range(2000, 2101)]
+    assert len(made) <= most, made
+
+
+def test_tree_nodes_are_joined_alike_at_any_size(spark, monkeypatch):
+    """A join that is broadcast on small tables only makes the disk they take say nothing of large ones."""
+    plans = {}
+    write = neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, name, *paths: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name, *paths))
+    sets = neardup.shingle_sets([f"a b c d e f g h {i // 2}".encode() for i in range(60)])
+    classes = spark.createDataFrame([(neardup.digest(x), neardup.signature(x).tobytes()) for x in sets], "cls binary, sig binary")
+    neardup.candidate_edges(classes, trees=2, node_limit=4, depth=1).count()
+    joins = {k: v for k, v in plans.items() if k.startswith(("nodes", "branches"))}
+    assert len(joins) >= 2 and all("SortMergeJoin" in v and "BroadcastHashJoin" not in v for v in joins.values())
+
+
+def test_signatures_are_the_minima_of_each_order():
+    rng = np.random.Generator(np.random.PCG64(3))
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 300, 2)]
+    want = [[min(x.tolist(), key=lambda v: ((v ^ int(a)) * int(m)) % 2**64) for a, m in zip(neardup.XOR, neardup.MUL)] for x in sets]
+    assert neardup.signatures(sets).tolist() == want and neardup.signatures([]).shape == (0, neardup.POSITIONS)
