@@ -62,11 +62,12 @@ def same_words(buf: bytes, s: np.ndarray, e: np.ndarray, i: np.ndarray, j: np.nd
     return out
 
 
-def _runs(texts: list[bytes], k: int, m: int, hot: np.ndarray):
-    """The super-k-mers of some texts, as arrays; None if there is none."""
-    buf, at = join_texts(texts)
+def _runs(column, k: int, m: int, hot: np.ndarray):
+    """The super-k-mers of a column of texts, as arrays; None if there is none."""
+    buf, at = join_texts(column.to_pylist())
     s, e, h = words_of(buf)
-    doc = np.searchsorted(at, s, "right") - 1
+    s, e = s.astype(np.int32), e.astype(np.int32)  # a column of Arrow has less than 2^31 bytes
+    doc = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(np.searchsorted(s, at), len(s))))
     n = len(h) - k + 1
     if n <= 0:
         return None
@@ -84,31 +85,46 @@ def _runs(texts: list[bytes], k: int, m: int, hot: np.ndarray):
     bad = np.append(np.flatnonzero(~whole), n)
     i1 = np.minimum(np.append(i0[1:], n), bad[stop])  # one past the last window
     p, inv = powers(len(h))
+    del whole, bad, stop, first
     sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h) * p[: len(h)], out=sums[1:])
+    h = mix(h)
+    h *= p[: len(h)]
+    np.cumsum(h, out=sums[1:])
     last = i1 + k - 1  # one past the last word
     key = mix((sums[last] - sums[i0]) * inv[i0] + (last - i0).astype(np.uint64))
-    base = np.searchsorted(doc, np.arange(len(texts)))  # first word of each text
+    base = np.searchsorted(doc, np.arange(len(at), dtype=np.int32))  # first word of each text
     return {
         "buf": buf, "s": s[i0], "e": e[last - 1], "doc": doc[i0], "start": i0 - base[doc[i0]], "words": last - i0,
         "key": key, "low": low[i0], "bucket": np.where(spread[i0], key, mix(low[i0])), "first": i0, "from": s, "to": e,
     }
 
 
-def _census(k: int, m: int, keep: int):
-    """Per unit: how many super-k-mers, and the minimisers that hold at least 1/keep of them."""
+def _by_unit(unit):
+    """What `unit` makes of each unit of text; nothing of one unit is held while the next is gathered."""
 
     def run(it):
         for b in gathered(it, "text", UNIT):
-            texts = b.column("text").to_pylist()
-            r = _runs(texts, k, m, np.empty(0, np.uint64))
-            low, c = np.unique(r["low"], return_counts=True) if r else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            big = c * keep >= c.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([None, *low[big].view(np.int64)], pa.int64()), pa.array([int(c.sum()), *c[big]], pa.int64())], ["low", "n"])
+            out = unit(b)
+            del b
+            if out is not None:
+                yield out
+            del out
 
     return run
 
 
+def _census(k: int, m: int, keep: int):
+    """Per unit: how many super-k-mers, and the minimisers that hold at least 1/keep of them."""
+
+    def unit(b):
+        r = _runs(b.column("text"), k, m, np.empty(0, np.uint64))
+        low, c = np.unique(r["low"], return_counts=True) if r else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        big = c * keep >= c.sum()
+        return pa.RecordBatch.from_arrays([pa.array([None, *low[big].view(np.int64)], pa.int64()), pa.array([int(c.sum()), *c[big]], pa.int64())], ["low", "n"])
+
+    return _by_unit(unit)
+
+
 HEAD = "<II"  # known repeats, super-k-mers
 
 
@@ -133,31 +149,30 @@ def _collapsed(r: dict, ids: np.ndarray) -> np.ndarray:
 
 
 def _pack(parts: int, tasks: int, k: int, m: int, hot: np.ndarray):
-    def run(it):
+    def unit(b):
         z = zstandard.ZstdCompressor(level=3)
-        for b in gathered(it, "text", UNIT):
-            r = _runs(b.column("text").to_pylist(), k, m, hot)
-            if r is None:
-                continue
-            ids = np.asarray(b.column("rid"), dtype=np.int64)[r["doc"]]
-            tags = np.asarray(b.column("tag"), dtype=np.int64)[r["doc"]]
-            goes = _collapsed(r, ids)  # what stays behind is a repeat
-            part = (r["bucket"] % np.uint64(parts)).astype(np.int64)
-            part = np.where(goes, part, (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64))
-            by = np.lexsort((r["start"], ids, goes, part))
-            cuts = np.flatnonzero(np.append(True, part[by][1:] != part[by][:-1]))
-            buf, s, e = r["buf"], r["s"], r["e"]
-            out_part, out_blob = [], []
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(by))):
-                x = by[lo:hi]
-                g = x[goes[x]]
-                meta = np.stack([ids[x], tags[x], r["start"][x], r["words"][x]])
-                text = b"\n".join([buf[i:j] for i, j in zip(s[g].tolist(), e[g].tolist())])
-                out_part.append(int(part[x[0]]))
-                out_blob.append(z.compress(struct.pack(HEAD, len(x) - len(g), len(g)) + meta.astype("<i8").tobytes() + text))
-            yield pa.RecordBatch.from_arrays([pa.array([p % tasks for p in out_part], pa.int32()), pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["task", "part", "blob"])
-
-    return run
+        r = _runs(b.column("text"), k, m, hot)
+        if r is None:
+            return None
+        ids = np.asarray(b.column("rid"), dtype=np.int64)[r["doc"]]
+        tags = np.asarray(b.column("tag"), dtype=np.int64)[r["doc"]]
+        goes = _collapsed(r, ids)  # what stays behind is a repeat
+        part = (r["bucket"] % np.uint64(parts)).astype(np.int64)
+        part = np.where(goes, part, (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64))
+        by = np.lexsort((r["start"], ids, goes, part))
+        cuts = np.flatnonzero(np.append(True, part[by][1:] != part[by][:-1]))
+        buf, s, e = r["buf"], r["s"], r["e"]
+        out_part, out_blob = [], []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(by))):
+            x = by[lo:hi]
+            g = x[goes[x]]
+            meta = np.stack([ids[x], tags[x], r["start"][x], r["words"][x]])
+            text = b"\n".join([buf[i:j] for i, j in zip(s[g].tolist(), e[g].tolist())])
+            out_part.append(int(part[x[0]]))
+            out_blob.append(z.compress(struct.pack(HEAD, len(x) - len(g), len(g)) + meta.astype("<i8").tobytes() + text))
+        return pa.RecordBatch.from_arrays([pa.array([p % tasks for p in out_part], pa.int32()), pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["task", "part", "blob"])
+
+    return _by_unit(unit)
 
 
 def _ranges(ids, tags, start, words):

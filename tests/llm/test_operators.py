@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -697,3 +699,28 @@ def test_signatures_are_the_minima_of_each_order():
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 300, 2)]
     want = [[min(x.tolist(), key=lambda v: ((v ^ int(a)) * int(m)) % 2**64) for a, m in zip(neardup.XOR, neardup.MUL)] for x in sets]
     assert neardup.signatures(sets).tolist() == want and neardup.signatures([]).shape == (0, neardup.POSITIONS)
+
+
+@pytest.mark.parametrize("make", [lambda: substring._pack(4, 4, 13, 3, np.empty(0, np.uint64)), lambda: substring._census(13, 3, 512)])
+def test_units_of_substring_are_handled_one_by_one(monkeypatch, make):
+    """Nothing of a unit but its result is held while the next one is made."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(110_000)).encode() for _ in range(4)]
+    held, runs = [], substring._runs
+
+    def watched(*a):
+        held.append(tracemalloc.get_traced_memory()[0])
+        return runs(*a)
+
+    monkeypatch.setattr(substring, "UNIT", 1 << 20)
+    for _ in make()(iter([pa.RecordBatch.from_pydict({"rid": [0], "tag": [0], "text": texts[:1]})])):
+        pass  # tables that stay are made
+    batch = pa.RecordBatch.from_pydict({"rid": [1, 2, 3, 4], "tag": [0] * 4, "text": texts})
+    monkeypatch.setattr(substring, "_runs", watched)
+    tracemalloc.start()
+    try:
+        for _ in make()(iter([batch])):
+            pass
+    finally:
+        tracemalloc.stop()
+    assert len(held) == 4 and max(held) - held[0] < 3 << 20, held
