@@ -724,3 +724,21 @@ def test_units_of_substring_are_handled_one_by_one(monkeypatch, make):
     finally:
         tracemalloc.stop()
     assert len(held) == 4 and max(held) - held[0] < 3 << 20, held
+
+
+@pytest.mark.parametrize("slots", [neardup.SLOTS, 64])
+def test_links_are_those_of_all_pairs(monkeypatch, slots):
+    monkeypatch.setattr(neardup, "SLOTS", slots)
+    rng = np.random.Generator(np.random.PCG64(6))
+    number = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    base = number(60)
+    sets = [np.unique(np.append(base[rng.random(60) < rng.choice([0.5, 0.7, 0.9, 0.97])], number(rng.integers(1, 25)))) for _ in range(200)]
+    sk = neardup.mix(neardup.signatures(sets)).astype(np.uint8)
+    for fresh in (None, rng.random(200) < 0.3):
+        f, want = neardup.Forest(200), neardup.Forest(200)
+        assert sum(1 for _ in neardup._links(sets, sk, 75, 100, fresh, f)) > 10
+        for i, j in itertools.combinations(range(200), 2):
+            both = len(np.intersect1d(sets[i], sets[j], True))
+            if (fresh is None or fresh[i] or fresh[j]) and both * 100 >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                want.join(i, j)
+        assert [f.find(i) for i in range(200)] == [want.find(i) for i in range(200)]
