@@ -36,7 +36,6 @@ NullViolation = _kind("NullViolation", "column '{0}' cannot be null")
 UniqueViolation = _kind("UniqueViolation", "duplicate value violates unique constraint on column '{0}'")
 InvalidQuery = _kind("InvalidQuery", "invalid query: {0}")
 ResultLimitExceeded = _kind("ResultLimitExceeded", "query returns at least {0} rows; maximum is {1}")
-TableRowLimit = _kind("TableRowLimit", "table would contain {0} rows; maximum is {1}")
 LockPoisoned = _kind("LockPoisoned", "database lock was poisoned")
 GpuUnavailable = _kind("GpuUnavailable", "GPU compute is unavailable: {0}")
 StorageIo = _kind("StorageIo", "storage I/O error: {0}")
@@ -51,7 +50,6 @@ def http_status(error: QuarryError) -> tuple[int, str]:
         ((TableNotFound, ColumnNotFound, IndexNotFound), 404, "not_found"),
         ((TableAlreadyExists, IndexAlreadyExists, UniqueViolation, NullViolation), 409, "constraint_violation"),
         ((ResultLimitExceeded,), 422, "response_too_large"),
-        ((TableRowLimit,), 422, "table_too_large"),
         ((LockPoisoned, StorageIo, StorageBusy, CorruptSnapshot, CorruptWal), 500, "internal_error"),
         ((Unsupported,), 501, "unsupported_sql"),
         ((DimensionMismatch,), 400, "dimension_mismatch"),

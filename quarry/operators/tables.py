@@ -26,7 +26,6 @@ from quarry.sources.scratch import drop_scratch, materialise, scratch_path
 from quarry.types import Column, coerce, struct_of
 
 LOCAL = 32_768
-MAX_ROWS = 10_000_000
 FOLDERS = 64
 EDITION = "_edition"
 RESERVED = {ROWID, EDITION}
@@ -165,9 +164,6 @@ class Change:
 def settled(table: Table, change: Change, facts: dict, spark: SparkSession, kind: str) -> Table:
     """The next version; kind tells if the change adds rows, replaces rows of the same ids, or only marks them."""
     count = table.count - facts["n"] if kind == "marks" else table.count + facts["n"] - facts["old"]
-    if count > MAX_ROWS:
-        change.drop()
-        raise E.TableRowLimit(count, MAX_ROWS)
     next_id = max(table.next_id, facts["top"] + 1)
     if count <= LOCAL:
         ids = {r[-1] for r in change.rows} if change.rows is not None else None

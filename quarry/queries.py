@@ -173,6 +173,7 @@ def _written(name: str, columns: list[Column], source: str, statement, select: s
 
 
 _EVENT = [Column("event_id", INTEGER, False, True), Column("user_id", INTEGER), Column("event_type", TEXT), Column("value", DOUBLE)]
+_PLAIN_EVENT = [Column("event_id", INTEGER, False), *_EVENT[1:]]  # no key: the SQL of `insert` gives an id twice where the table's reach over its shift
 _VEC = [Column("vec_id", INTEGER, False, True), Column("label", INTEGER), Column("embedding", vector(DIMS))]
 _PICK = "SELECT event_id, user_id, event_type, value FROM e"
 
@@ -183,13 +184,21 @@ def _more(df: DataFrame, start: int = 0) -> DataFrame:
     return df.select((F.col("event_id") + top // 2 + start).alias("event_id"), "user_id", F.lit("again").alias("event_type"), (F.col("value") + 1).alias("value"))
 
 
+def _beyond(df: DataFrame) -> DataFrame:
+    """Events with ids past the largest: all of them new, whatever the table's size."""
+    span = df.agg(F.max("event_id") - F.min("event_id") + 1).first()[0]
+    return df.select((F.col("event_id") + span).alias("event_id"), "user_id", F.lit("again").alias("event_type"), (F.col("value") + 1).alias("value"))
+
+
 def _small(db, spark, df):
     db.execute("INSERT INTO e (event_id, event_type) VALUES (-1, 'x'), (-2, NULL); INSERT INTO e VALUES (-1, 5, 'no', 1), (-3, 5, 'yes', 2) ON CONFLICT (event_id) DO NOTHING; INSERT INTO e VALUES (-2, 7, 'up', 1.5), (-4, 8, 'new', 2) ON CONFLICT (event_id) DO UPDATE SET event_type = excluded.event_type, value = excluded.value + 1")
 
 
 WRITES = {
-    "insert": (_written("e", _EVENT, "events", lambda db, s, df: db.insert_rows("e", _more(df, 10**6)), _PICK),
+    "insert": (_written("e", _PLAIN_EVENT, "events", lambda db, s, df: db.insert_rows("e", _more(df, 10**6)), _PICK),
                "SELECT event_id, user_id, event_type, value FROM events UNION ALL SELECT event_id + (SELECT max(event_id) FROM events) // 2 + 1000000, user_id, 'again', value + 1 FROM events"),
+    "insert_keyed": (_written("e", _EVENT, "events", lambda db, s, df: db.insert_rows("e", _beyond(df)), _PICK),
+                     "SELECT event_id, user_id, event_type, value FROM events UNION ALL SELECT event_id + (SELECT max(event_id) - min(event_id) + 1 FROM events), user_id, 'again', value + 1 FROM events"),
     "insert_values": (_written("e", _EVENT, "events", _small, _PICK),
                       "SELECT event_id, user_id, event_type, value FROM events UNION ALL VALUES (-1, NULL, 'x', NULL), (-2, NULL, 'up', 2.5), (-3, 5, 'yes', 2), (-4, 8, 'new', 2)"),
     "insert_do_nothing": (_written("e", _EVENT, "events", lambda db, s, df: db.insert_rows("e", _more(df), "do_nothing", "event_id"), _PICK),
